@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import substrings
+from . import quality, sharding, substrings
 
-QUERIES = {"op8_repeated_passages": substrings.op8_repeated_passages}
-ORACLES = {"op8_repeated_passages": substrings.ORACLE}
+QUERIES = {
+    "op4_minimax_shards": sharding.op4_minimax_shards,
+    "op6_clean_lines": quality.op6_clean_lines,
+    "op8_repeated_passages": substrings.op8_repeated_passages,
+}
+ORACLES = {"op6_clean_lines": quality.oracle(), "op8_repeated_passages": substrings.ORACLE}
