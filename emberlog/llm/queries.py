@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, substrings
+from . import packing, quality, rans, sharding, substrings, urls
 
 QUERIES = {
     "op4_minimax_shards": sharding.op4_minimax_shards,
     "op6_clean_lines": quality.op6_clean_lines,
+    "op7_filter_urls": urls.op7_filter_urls,
     "op8_repeated_passages": substrings.op8_repeated_passages,
+    "op9_length_buckets": packing.op9_length_buckets,
+    "op10_rans_blocks": rans.op10_rans_blocks,
 }
-ORACLES = {"op6_clean_lines": quality.oracle(), "op8_repeated_passages": substrings.ORACLE}
+ORACLES = {"op6_clean_lines": quality.oracle(), "op7_filter_urls": urls.ORACLE, "op8_repeated_passages": substrings.ORACLE}
