@@ -24,6 +24,13 @@ _B = 0x9E3779B97F4A7C15
 _C = 0xD6E8FEB86659FD93
 SLICE_BYTES = 1 << 21
 
+#: For comparisons that ignore punctuation and case: all ASCII but letters and digits separates
+#: words, and upper case hashes like lower case (for ASCII and, in UTF-8, the Latin-1 letters).
+PLAIN_BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+PLAIN_BYTE = _BYTE.copy()
+PLAIN_BYTE[65:91] = PLAIN_BYTE[97:123]
+PLAIN_BYTE[0x80:0x9F] = PLAIN_BYTE[0xA0:0xBF]
+
 
 class _Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
@@ -92,11 +99,11 @@ class Words:
     words begin among all words.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE):
         self.raw, self.offsets = raw, offsets
         n = len(raw)
         word = np.empty(n + 1, bool)
-        np.logical_not(_SPACE[raw], out=word[:n])
+        np.logical_not(between[raw], out=word[:n])
         word[n] = False
         before = np.empty(n + 1, bool)
         before[0], before[1:] = False, word[:n]
@@ -111,8 +118,9 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
 
     @classmethod
-    def of(cls, texts: pa.Array) -> Words:
-        return cls(*buffers(texts))
+    def of(cls, texts: pa.Array, between: np.ndarray = _SPACE) -> Words:
+        """``between``: which bytes separate words."""
+        return cls(*buffers(texts), between)
 
     @property
     def counts(self) -> np.ndarray:
