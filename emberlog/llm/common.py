@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Estimates beyond this are no estimates.
+UNKNOWN_BYTES = 1 << 50
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,10 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:
     """Partitions of about ``bytes_each`` of the plan's estimated size, at least the session's
-    shuffle partitions: grows in proportion to the input."""
+    shuffle partitions: grows in proportion to the input. Where the plan has no estimate (rows that
+    aren't read from files, joins), the texts' bytes are summed."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > UNKNOWN_BYTES:
+        texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+        size = df.agg(F.sum(sum(texts, F.lit(8))).alias("n")).first().n or 0
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(min(size, 1 << 60) / bytes_each))
+    return max(least, math.ceil(size / bytes_each))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, packing, quality, rans, secrets, sharding, substrings, urls
+from . import decontaminate, neardup, packing, quality, rans, secrets, sharding, substrings, suffixes, urls
 
 QUERIES = {
     "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_secret_findings": secrets.op3_secret_findings,
     "op4_minimax_shards": sharding.op4_minimax_shards,
+    "op5_maximal_repeats": suffixes.op5_maximal_repeats,
     "op6_clean_lines": quality.op6_clean_lines,
     "op7_filter_urls": urls.op7_filter_urls,
     "op8_repeated_passages": substrings.op8_repeated_passages,

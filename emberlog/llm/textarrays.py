@@ -49,7 +49,9 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_bytes_powers, _word_powers = _Powers(_B), _Powers(_C)
+#: Base of the worth of places: see ``windows``.
+STEP = 0xA0761D6478BD642F
+_bytes_powers, _word_powers, places = _Powers(_B), _Powers(_C), _Powers(STEP)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -4,7 +4,8 @@ Every window of ``n`` words of every text is hashed (64-bit Rabin-Karp) and sent
 form (8 bytes of hash and about one of position, one row per slice of texts and part), to the
 part that its hash selects. There, equal hashes meet; each slice gets back the positions of
 its windows that occur elsewhere. Parts grow in number with the corpus, so each keeps its
-size. A slice's id is the hash of what it holds: a task that runs again sends the same rows.
+size. A slice's name is a hash of what it holds and of its place in the scan, so a task that runs
+again sends the same rows.
 """
 
 from __future__ import annotations
@@ -13,32 +14,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binaries, decode_ascending, encode_ascending, group_bounds, joined, parts_for, pick
-from .textarrays import U, Words, mix, slices, window_hashes
+from .textarrays import STEP, U, Words, mix, places, slices, window_hashes
 
 #: Estimated bytes of compressed text per part: about a million windows.
 PART_BYTES = 4 << 20
 SENT = "part int, slice bigint, hashes binary, at binary, ids binary, valid binary, first binary"
-FOUND = "slice bigint, at binary, sums binary, nexts binary, ids binary, valid binary, first binary"
+FOUND = "slice bigint, at binary, sums binary, ids binary, valid binary, first binary"
 
 
 def _sent(words: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["part", "slice", "hashes", "at", "ids", "valid", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, serial = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
+                serial += 1
                 found = Words.of(texts.slice(a, b - a))
                 hashes, at = window_hashes(h := found.hashes(), found.first, words)
                 if not len(at):
                     continue
                 doc, valid = ids.slice(a, b - a).fill_null(0).to_numpy(), ids.slice(a, b - a).is_valid()
                 valid = valid.to_numpy(zero_copy_only=False).astype(np.uint8)
-                salt = np.concatenate((doc.astype(U), valid.astype(U), found.first.astype(U), [h.sum(dtype=U)]))
+                salt = np.concatenate((doc.astype(U), valid.astype(U), found.first.astype(U), [h.sum(dtype=U), U(task), U(serial)]))
                 name = mix(salt * (np.arange(1, len(salt) + 1, dtype=U) * U(2) + U(1))).sum(dtype=U)
                 part = ((hashes >> U(32)) % U(parts)).astype(np.uint16 if parts <= 65536 else np.int32)
                 order = np.argsort(part, kind="stable")
@@ -57,7 +61,7 @@ def _sent(words: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def _found(sums: bool) -> Callable[[pa.Table], pa.Table]:
-    schema = pa.schema([("slice", pa.int64()), *((n, pa.binary()) for n in ("at", "sums", "nexts", "ids", "valid", "first"))])
+    schema = pa.schema([("slice", pa.int64()), *((n, pa.binary()) for n in ("at", "sums", "ids", "valid", "first"))])
 
     def run(group: pa.Table) -> pa.Table:
         is_table = group["hashes"].is_null()
@@ -79,18 +83,20 @@ def _found(sums: bool) -> Callable[[pa.Table], pa.Table]:
         none = pa.nulls(len(slice_of), pa.binary())
         columns = [pa.array(slice_of), encode_ascending(at[keep], cuts)]
         if sums:
-            who = np.repeat(slice_of.view(U), np.diff(ends))
-            for step in (0, 1):
-                total = np.zeros(len(hashes), U)
-                place = mix(who + (at + step).astype(U) * U(0x9E3779B97F4A7C15))
-                if len(order):
-                    total[order] = np.repeat(np.add.reduceat(place[order], bounds[:-1]), np.diff(bounds))
-                columns.append(binaries(total[keep], cuts))
+            # a place is worth its slice's number times a power of STEP: the sum over the places
+            # that follow is STEP times the sum
+            up, _ = places.get(int(at.max(initial=0)) + 1)
+            worth = mix(np.repeat(slice_of.view(U), np.diff(ends))) | U(1)
+            worth *= up[at]
+            total = np.zeros(len(hashes), U)
+            if len(order):
+                total[order] = np.repeat(np.add.reduceat(worth[order], bounds[:-1]), np.diff(bounds))
+            columns.append(binaries(total[keep], cuts))
         else:
-            columns += [none, none]
+            columns.append(none)
         some = pa.table([*columns, none, none, none], schema=schema).filter(pa.array(np.diff(cuts) > 0))
         none = pa.nulls(len(tables), pa.binary())
-        return pa.concat_tables([some, pa.table([tables["slice"], none, none, none, tables["ids"], tables["valid"], tables["first"]], schema=schema)])
+        return pa.concat_tables([some, pa.table([tables["slice"], none, none, tables["ids"], tables["valid"], tables["first"]], schema=schema)])
 
     return run
 
@@ -98,9 +104,9 @@ def _found(sums: bool) -> Callable[[pa.Table], pa.Table]:
 def repeated_windows(docs: DataFrame, words: int, sums: bool = False) -> DataFrame:
     """The windows of ``words`` words that occur more than once in ``docs``, by slice of texts (FOUND).
 
-    ``sums`` adds for each window the sum, over all its occurrences, of a hash of the place (which
-    names the window), and the same sum for the places that follow (equal to the name of the next
-    window exactly if the two always occur together).
+    ``sums`` adds for each window the sum, over all its occurrences, of what their places are worth:
+    it names the window, and STEP times it is the next window's name exactly if the two always
+    occur together (else with a chance of about 2**-60).
     """
     docs = pick(docs, "doc_id", "text").where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sent = docs.mapInArrow(_sent(words, parts_for(docs, PART_BYTES)), SENT)
@@ -113,7 +119,6 @@ class Slice:
     def __init__(self, group: pa.Table):
         rows = group.to_pylist()
         table = next(r for r in rows if r["ids"] is not None)
-        # copies of a slice (same texts and ids) have one name: their rows are the same
         self.ids, self.valid = np.frombuffer(table["ids"], np.int64), np.frombuffer(table["valid"], np.uint8).astype(bool)
         self.first = np.frombuffer(table["first"], np.int64)
         rows = [r for r in rows if r["at"] is not None]
@@ -121,5 +126,5 @@ class Slice:
         self.at, keep = np.unique(at, return_index=True)
         self.doc = np.searchsorted(self.first, self.at, "right") - 1
         self.pos = self.at - self.first[self.doc]
-        for name in ("sums", "nexts"):
-            setattr(self, name, joined(pa.array([r[name] for r in rows], pa.binary()), U)[keep] if rows and rows[0][name] is not None else None)
+        sums = [r["sums"] for r in rows]
+        self.sums = joined(pa.array(sums, pa.binary()), U)[keep] if sums and sums[0] is not None else None
