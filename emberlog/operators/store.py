@@ -207,14 +207,15 @@ class LogStore:
 
     # -- reading
 
-    def _live(self, version: Version) -> DataFrame:
+    def _live(self, version: Version, shard: int | None = None) -> DataFrame:
+        """What is live of all shards, or of one: its bound is then the only one in the plan."""
         if not version.commits:
             return self.spark.createDataFrame([], ARRIVALS_SCHEMA)
         rows: DataFrame | None = None
         for name in version.commits:
             one = self.spark.read.schema(ARRIVALS_SCHEMA).parquet(self.folder.path("arrivals", name))
             rows = one if rows is None else rows.unionByName(one)
-        return live(rows, {s.shard: s.oldest_offset for s in version.shards if s.live})
+        return live(rows, {s.shard: s.oldest_offset for s in version.shards if s.live and shard in (None, s.shard)})
 
     def live(self) -> DataFrame:
         """All rows that are retained, at one version."""
@@ -226,7 +227,7 @@ class LogStore:
     def query_by_host(self, host: str, first: int = MIN, last: int = MAX) -> DataFrame:
         version = self.version()
         shard = self._router(version).shard(host, len(version.shards))
-        return self._records(lookup.by_host(self._live(version), shard, host, first, last))
+        return self._records(lookup.by_host(self._live(version, shard), shard, host, first, last))
 
     def query_by_service(self, service: str, first: int = MIN, last: int = MAX) -> DataFrame:
         return self._records(lookup.by_service(self.live(), service, first, last))
@@ -234,11 +235,11 @@ class LogStore:
     def query_by_service_and_host(self, service: str, host: str, first: int = MIN, last: int = MAX) -> DataFrame:
         version = self.version()
         shard = self._router(version).shard(host, len(version.shards))
-        return self._records(lookup.by_service_and_host(self._live(version), shard, service, host, first, last))
+        return self._records(lookup.by_service_and_host(self._live(version, shard), shard, service, host, first, last))
 
     def get(self, shard: int, local_offset: int) -> DataFrame:
         """The record at an offset of a shard: no row if it is evicted or hasn't arrived."""
-        return self._records(self.live().where((F.col("shard") == shard) & (F.col("local_offset") == local_offset)))
+        return self._records(self._live(self.version(), shard).where((F.col("shard") == shard) & (F.col("local_offset") == local_offset)))
 
     def postings(self, key: str) -> DataFrame:
         return postings(self.live(), key)
