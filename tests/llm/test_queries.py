@@ -1,0 +1,60 @@
+"""Registered queries against their SQL, and the pipeline against its stages."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from emberlog.llm import neardup, quality
+from emberlog.llm.queries import ORACLES, QUERIES
+from emberlog.llm.tokens import count_tokens
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    found, want = QUERIES[name](spark, DATA), con.sql(ORACLES[name])
+    columns = sorted(found.columns)
+    assert columns == sorted(want.columns)
+    order = [want.columns.index(c) for c in columns]
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in found.collect()) == sorted(repr(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_equals_its_stages_one_by_one(spark):
+    """run() against the stages' brute-force counterparts: DuckDB, all pairs, and plain search."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    rows = {r[0]: r[1] for r in con.sql("SELECT doc_id, text FROM (" + quality.oracle() + ")").fetchall()}
+    from test_neardup import brute
+
+    gone = {i for i, _ in brute(sorted(rows.items()))}
+    rows = {i: t for i, t in rows.items() if i not in gone}
+    flat = lambda s: " " + " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in s.lower()).split()) + " "
+    items = [flat(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    rows = {i: t for i, t in rows.items() if not any(x in flat(t) for x in items)}
+    from emberlog.llm.secrets import _found, redact, trained
+
+    ids = sorted(rows)
+    rows = {i: redact(rows[i], s) for i, s in zip(ids, _found([rows[i] for i in ids], trained()))}
+    found = {}
+    for r in corpus_pipeline.run(spark, DATA).collect():
+        found[r.doc_id] = found.get(r.doc_id, 0) + r.n_tokens
+    assert found == {i: count_tokens(t) for i, t in rows.items()}
+
+
+def test_stages_keep_the_columns_and_odd_tables_pass(spark, odd, empty):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "secret_scans", "packing"]
+    for docs in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    assert neardup.drop_near_duplicates(empty).count() == 0
