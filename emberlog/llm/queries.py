@@ -16,4 +16,9 @@ QUERIES = {
     "op9_length_buckets": packing.op9_length_buckets,
     "op10_rans_blocks": rans.op10_rans_blocks,
 }
-ORACLES = {"op6_clean_lines": quality.oracle(), "op7_filter_urls": urls.ORACLE, "op8_repeated_passages": substrings.ORACLE}
+ORACLES = {
+    "op4_minimax_shards": sharding.ORACLE,
+    "op6_clean_lines": quality.oracle(),
+    "op7_filter_urls": urls.ORACLE,
+    "op8_repeated_passages": substrings.ORACLE,
+}

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, table
@@ -57,6 +57,11 @@ def _assigned(shards: int):
     return run
 
 
+def _bucket(buckets: int) -> Column:
+    """From the text's MD5, which any SQL engine has; null texts share bucket 0."""
+    return F.coalesce((F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint") % buckets).cast("int"), F.lit(0))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> DataFrame:
     """Assigns every document to one of ``shards`` contiguous shards whose largest has the least
     possible bytes of text: doc_id, source, bucket, shard, capacity.
@@ -69,7 +74,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> Data
     leave shards empty; an empty table gives an empty result. Other columns are ignored.
     """
     docs = pick(docs, "doc_id", "text", "source").withColumn("source", F.col("source").cast("string"))
-    docs = docs.select("doc_id", "source", F.octet_length("text").alias("_bytes"), F.expr(f"cast(pmod(xxhash64(text), {buckets}) as int)").alias("bucket"))
+    docs = docs.select("doc_id", "source", F.octet_length("text").alias("_bytes"), _bucket(buckets).alias("bucket"))
     sizes = docs.groupBy("source", "bucket").agg(F.coalesce(F.sum("_bytes"), F.lit(0)).cast("bigint").alias("bytes"))
     ordered = sizes.repartition(1).sortWithinPartitions(F.asc_nulls_first("source"), "bucket")
     assigned = ordered.mapInArrow(_assigned(shards), "source string, bucket int, shard int, capacity bigint").toDF("_source", "_bucket", "shard", "capacity")
@@ -79,3 +84,26 @@ def shard(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> Data
 
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
+
+
+# One row walks through the search: at a capacity (low + high) // 2, it fills one shard a step, and
+# starts again with a smaller or larger capacity, until low = high; then it fills the shards for good.
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce((('0x' || substr(md5(text), 1, 8))::BIGINT % {BUCKETS})::INTEGER, 0) AS bucket, coalesce(strlen(text), 0) AS b FROM documents),
+g AS (SELECT source, bucket, sum(b)::BIGINT AS b FROM d GROUP BY ALL),
+o AS (SELECT source, bucket, b, row_number() OVER w AS i, (sum(b) OVER w)::BIGINT AS upto FROM g WINDOW w AS (ORDER BY source NULLS FIRST, bucket)),
+p AS (SELECT list(upto ORDER BY i) AS upto, max(b) AS most, max(upto) AS total, count(*) AS n FROM o),
+s(low, high, pos, used, done) AS (
+  SELECT greatest(most, (total + {SHARDS - 1}) // {SHARDS}), greatest(most, (total + {SHARDS - 1}) // {SHARDS}) + most, 0::BIGINT, 0, false FROM p
+  UNION ALL
+  SELECT CASE WHEN done OR low >= high OR pos = n OR used < {SHARDS} THEN low ELSE (low + high) // 2 + 1 END,
+    CASE WHEN NOT done AND low < high AND pos = n THEN (low + high) // 2 ELSE high END,
+    CASE WHEN NOT done AND (low >= high OR pos = n OR used = {SHARDS}) THEN 0
+      ELSE len(list_filter(upto, lambda x: x <= (CASE WHEN pos = 0 THEN 0 ELSE upto[pos] END) + (CASE WHEN done THEN low ELSE (low + high) // 2 END))) END,
+    CASE WHEN NOT done AND (low >= high OR pos = n OR used = {SHARDS}) THEN 0 ELSE used + 1 END,
+    done OR low >= high
+  FROM s, p WHERE NOT (done AND pos = n)),
+e AS (SELECT used - 1 AS shard, pos, low FROM s WHERE done AND used > 0)
+SELECT doc_id, d.source, d.bucket, (SELECT min(shard) FROM e WHERE e.pos >= o.i)::INTEGER AS shard, (SELECT max(low) FROM e)::BIGINT AS capacity
+FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source AND d.bucket = o.bucket
+"""
