@@ -96,12 +96,13 @@ class Template:
         yield 1, mix(hashes + U(2 * n + 1)), at, np.searchsorted(self.literal_first, at, "right") - 1
 
     def slots(self, at: int, n: int) -> list[str]:
-        """The texts of the slots of a template window, in order, with their type."""
+        """The words of each slot of a template window, in order, with its type."""
         found = []
         for k in np.flatnonzero(self.kind[at : at + n]) + at:
             stop = self.kept[k + 1] if k + 1 < len(self.kept) else len(self.words.start)
             stop = min(stop, self.literal_first[np.searchsorted(self.literal_first, self.kept[k], "right")])
-            text = self.raw[self.words.start[self.kept[k]] : self.words.end[stop - 1]].tobytes()
+            words = range(self.kept[k], stop)
+            text = b" ".join(self.raw[self.words.start[i] : self.words.end[i]].tobytes() for i in words)
             found.append(f"{self.kind[k]}{text.decode('utf-8', 'replace').lower()}")
         return found
 
@@ -220,3 +221,41 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+_WORD = r"(?:[A-Za-z\x{80}-\x{10FFFF}]|[0-9]+(?:[.,][0-9]+)*)+"
+
+
+def _side(t: str, name: str, key: str) -> str:
+    """Tables of one side: t2 has its words, t5 its template tokens, tw its windows of all lengths."""
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    window = """SELECT {channel} AS channel, {n} AS n, id, h, k AS pos, s FROM (SELECT id, h, k, string_agg(tok, ' ') OVER f AS s, count(*) OVER f AS c,
+      sum(literal) OVER f AS l FROM {rows} WINDOW f AS (PARTITION BY id, h ORDER BY k ROWS BETWEEN CURRENT ROW AND {last} FOLLOWING)) WHERE c = {n} AND l >= {least}"""
+    windows = " UNION ALL ".join(
+        window.format(channel=c, n=n, last=n - 1, least=(min(LITERALS, n - 1), n)[c], rows=(f"{t}5", f"{t}2")[c]) for n in range(SHORTEST, WINDOW + 1) for c in (0, 1)
+    )
+    return f"""{t}1 AS (SELECT DISTINCT {key} AS id, md5(text) AS h, regexp_extract_all(text, '{_WORD}') AS w FROM {name} WHERE text IS NOT NULL),
+{t}2 AS (SELECT id, h, k, lower(x) AS tok, 1 AS literal, CASE WHEN regexp_full_match(x, '[0-9.,]+') OR lower(x) IN ({listed(NUMBERS)}) THEN {NUMBER}
+  WHEN lower(x) IN ({listed(UNITS)}) THEN {UNIT} WHEN strlen(x) > 1 AND regexp_full_match(x, '[A-Z\u00c0-\u00de][^A-Z]*') THEN {NAME} ELSE {LITERAL} END AS kind
+  FROM (SELECT id, h, unnest(w) AS x, unnest(range(len(w))) AS k FROM {t}1)),
+{t}3 AS (SELECT *, CASE WHEN kind IN ({NUMBER}, {NAME}) AND kind = lag(kind) OVER (PARTITION BY id, h ORDER BY k) THEN 0 ELSE 1 END AS begins FROM {t}2),
+{t}4 AS (SELECT *, sum(begins) OVER (PARTITION BY id, h ORDER BY k) - 1 AS slot FROM {t}3),
+{t}5 AS (SELECT id, h, slot AS k, min(kind) AS kind, CASE WHEN min(kind) = {LITERAL} THEN min(tok) ELSE '<' || min(kind) || '>' END AS tok,
+  CASE WHEN min(kind) = {LITERAL} THEN 1 ELSE 0 END AS literal, string_agg(tok, ' ' ORDER BY k) AS words FROM {t}4 GROUP BY id, h, slot),
+{t}w AS ({windows})"""
+
+
+ORACLE = f"""WITH {_side("d", "documents", "doc_id")}, {_side("b", "benchmark", "item_id")},
+sizes AS (SELECT 0 AS channel, id, h, count(*) AS size FROM b5 GROUP BY id, h UNION ALL SELECT 1, id, h, count(*) FROM b2 GROUP BY id, h),
+wanted AS (SELECT bw.*, size FROM bw JOIN sizes USING (channel, id, h) WHERE n = {WINDOW} OR size = n),
+pairs AS (SELECT DISTINCT channel, d.id AS doc_id, d.h AS dh, i.id AS item_id, i.h AS ih, size, d.pos - i.pos AS shift, unnest(range(i.pos::BIGINT, i.pos::BIGINT + n)) AS p
+  FROM dw AS d JOIN wanted AS i USING (channel, n, s)),
+slots AS (SELECT p.*, bt.words AS a, dt.words AS b FROM pairs AS p
+  LEFT JOIN b5 AS bt ON channel = 0 AND bt.literal = 0 AND bt.id = item_id AND bt.h = ih AND bt.k = p
+  LEFT JOIN d5 AS dt ON channel = 0 AND dt.literal = 0 AND dt.id = doc_id AND dt.h = dh AND dt.k = p + shift),
+aligned AS (SELECT channel, doc_id, dh, item_id, ih, size, shift, count(DISTINCT p) AS covered, count(DISTINCT a) AS na, count(DISTINCT b) AS nb,
+  count(DISTINCT a || chr(1) || b) AS n, count(DISTINCT CASE WHEN a <> b THEN a || chr(1) || b END) AS changed FROM slots GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, dh, item_id ORDER BY covered / size DESC, channel DESC, covered DESC, changed) AS r
+  FROM aligned WHERE na = n AND nb = n AND (covered >= {COVERED} OR 2 * covered >= size))
+SELECT doc_id, item_id, covered::INTEGER AS covered, size::INTEGER AS item_tokens, changed::INTEGER AS slots_changed FROM ranked WHERE r = 1
+"""

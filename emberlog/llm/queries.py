@@ -17,6 +17,7 @@ QUERIES = {
     "op10_rans_blocks": rans.op10_rans_blocks,
 }
 ORACLES = {
+    "op1_benchmark_leaks": decontaminate.ORACLE,
     "op4_minimax_shards": sharding.ORACLE,
     "op6_clean_lines": quality.oracle(),
     "op7_filter_urls": urls.ORACLE,
