@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import import_here
+
 _MASK = (1 << 64) - 1
 
 
@@ -76,6 +78,7 @@ class SipRouter:
                 found = [None if h is None else self.shard(h, shards) for h in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], ["host_id", "shard"])
 
+        import_here(df.sparkSession)
         hosts = df.select("host_id").distinct().mapInArrow(run, "host_id string, shard int")
         return df.join(hosts, "host_id")
 
