@@ -56,7 +56,9 @@ def clean_lines(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
     words = r"filter(split(l, '[ \\t\\n\\x0b\\f\\r]+'), x -> x <> '')"
     kept = f"filter(split(text, '\\n', -1), l -> exists(array({words}), w -> {line}))"
     solid = lambda c: F.length(F.regexp_replace(c, r"[ \t\n\x0b\f\r]+", ""))
-    cleaned = documents_like(docs).withColumn("_kept", F.array_join(F.expr(kept), "\n")).where((solid("text") > 0) & (solid("_kept") >= keep_share * solid("text")))
+    # a generator, so that the filter isn't pushed below it and the lines aren't judged again for each use
+    once = documents_like(docs).select("*", F.explode(F.array(F.array_join(F.expr(kept), "\n"))).alias("_kept"))
+    cleaned = once.where((solid("text") > 0) & (solid("_kept") >= keep_share * solid("text")))
     return cleaned.select("doc_id", F.col("_kept").alias("text"), "lang", "source", F.length("_kept").cast("bigint").alias("n_chars"))
 
 
