@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import LogError, RoutingError, SnapshotError
 from ..functions.routing import ROUTERS, Md5Router, SipRouter
@@ -22,8 +23,8 @@ from ..storage import Folder
 from .offsets import live, local_offsets, postings
 
 MIN, MAX = -(1 << 63), (1 << 63) - 1
-#: Commits that a read lists; more of them are worth a compaction.
-COMMITS = 64
+#: Commits after which ``ingest`` compacts the store by itself.
+COMMITS = 256
 
 
 class Offsets:
@@ -92,6 +93,12 @@ class Version:
         return cls(found["number"], found["router"], shards, tuple(found["commits"]), Offsets(found["offsets"]), dict(found["batches"]))
 
 
+def _arrivals(folder: Folder, commits: tuple[str, ...]) -> DataFrame:
+    """The rows of all commits, in one scan."""
+    read = folder.spark.read.option("basePath", folder.path("arrivals")).schema(T.StructType([*ARRIVALS_SCHEMA, T.StructField("commit", T.StringType())]))
+    return read.parquet(*(folder.path("arrivals", f"commit={c}") for c in commits)).drop("commit")
+
+
 class LogStore:
     def __init__(self, spark: SparkSession, root: str):
         """Opens the store at ``root``."""
@@ -129,17 +136,20 @@ class LogStore:
 
     # -- ingest
 
-    def ingest(self, rows: DataFrame, order: tuple[str, ...] = ("arrival_seq",), offsets: Offsets | None = None, stream: str | None = None, batch: int | None = None) -> int:
+    def ingest(
+        self, rows: DataFrame, order: tuple[str, ...] = ("arrival_seq",), offsets: Offsets | None = None, stream: str | None = None, batch: int | None = None, counts: dict[int, int] | None = None
+    ) -> int:
         """Appends ``rows`` in ``order``, each to the shard that owns its host, and returns their number.
 
         With a ``stream`` and its ``batch`` number, a batch that was applied before is passed over
         (0), so a replay changes nothing. Rows that wouldn't survive their own batch aren't written.
+        ``counts`` (rows by shard) saves a pass if the caller knows them.
         """
         version = self.version()
         if stream is not None and version.batches.get(stream, -1) >= batch:
             return 0
         routed = self._router(version).routed(rows.select(*LOG_COLUMNS, *(c for c in order if c not in LOG_COLUMNS)), len(version.shards))
-        return self._append(version, routed, order, offsets, stream, batch)
+        return self._append(version, routed, order, offsets, stream, batch, counts)
 
     def ingest_one(self, timestamp: int, service_name: str, host_id: str, message: str) -> int:
         """Appends one record and returns its local offset."""
@@ -163,8 +173,9 @@ class LogStore:
             raise RoutingError(f"host {wrong.host_id!r} belongs to shard {wrong.shard}, not {shard}")
         return self._append(version, routed, order)
 
-    def _append(self, version: Version, routed: DataFrame, order: tuple[str, ...], offsets: Offsets | None = None, stream: str | None = None, batch: int | None = None) -> int:
-        counts = {r.shard: r.n for r in routed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    def _append(self, version: Version, routed: DataFrame, order: tuple[str, ...], offsets: Offsets | None = None, stream: str | None = None, batch: int | None = None, counts: dict[int, int] | None = None) -> int:
+        if counts is None:
+            counts = {r.shard: r.n for r in routed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         total = sum(counts.values())
         shards = tuple(s.grown(counts.get(s.shard, 0)) for s in version.shards)
         commits = version.commits
@@ -180,13 +191,15 @@ class LogStore:
         batches = version.batches | ({stream: batch} if stream is not None else {})
         if total or stream is not None or offsets:
             self._commit(replace(version, number=version.number + 1, shards=shards, commits=commits, offsets=merged, batches=batches))
+        if len(commits) > COMMITS:
+            self.compact()
         return total
 
     def _written(self, rows: DataFrame) -> str:
         name = uuid.uuid4().hex
         columns = [f.name for f in ARRIVALS_SCHEMA]
         laid = rows.select(*columns).repartition("shard").sortWithinPartitions("shard", "host_id", "timestamp")
-        laid.write.partitionBy("shard").parquet(self.folder.path("arrivals", name))
+        laid.write.partitionBy("shard").parquet(self.folder.path("arrivals", f"commit={name}"))
         return name
 
     def compact(self) -> None:
@@ -202,7 +215,7 @@ class LogStore:
             if name != f"{version.number:012d}.json":
                 self.folder.delete("versions", name)
         for name in self.folder.names("arrivals"):
-            if name not in version.commits:
+            if name.removeprefix("commit=") not in version.commits:
                 self.folder.delete("arrivals", name)
 
     # -- reading
@@ -211,16 +224,26 @@ class LogStore:
         """What is live of all shards, or of one: its bound is then the only one in the plan."""
         if not version.commits:
             return self.spark.createDataFrame([], ARRIVALS_SCHEMA)
-        rows: DataFrame | None = None
-        for name in version.commits:
-            one = self.spark.read.schema(ARRIVALS_SCHEMA).parquet(self.folder.path("arrivals", name))
-            rows = one if rows is None else rows.unionByName(one)
+        rows = _arrivals(self.folder, version.commits)
         return live(rows, {s.shard: s.oldest_offset for s in version.shards if s.live and shard in (None, s.shard)})
 
     def live(self) -> DataFrame:
         """All rows that are retained, at one version."""
         return self._live(self.version())
 
+    def shard_for_host(self, host: str) -> Shard:
+        version = self.version()
+        return version.shards[self._router(version).shard(host, len(version.shards))]
+
+    def shard_by_id(self, shard: int) -> Shard:
+        found = {s.shard: s for s in self.version().shards}
+        if shard not in found:
+            raise RoutingError(f"there is no shard {shard}")
+        return found[shard]
+
+    def shards(self) -> tuple[Shard, ...]:
+        return self.version().shards
+
     def _records(self, rows: DataFrame) -> DataFrame:
         return rows.select(*LOG_COLUMNS)
 
@@ -285,7 +308,7 @@ class LogStore:
         name = uuid.uuid4().hex
         if version.commits:
             laid = self._live(version).repartition("shard").sortWithinPartitions("shard", "host_id", "timestamp")
-            laid.write.partitionBy("shard").parquet(target.path("arrivals", name))
+            laid.write.partitionBy("shard").parquet(target.path("arrivals", f"commit={name}"))
         found = replace(version, commits=(name,) if version.commits else (), offsets=offsets or version.offsets)
         while True:
             taken = [int(n[:12]) for n in target.names("versions") if not n.startswith(".")]
@@ -306,7 +329,7 @@ class LogStore:
             raise SnapshotError(f"the snapshot's manifest can't be read: {e}") from e
         rows = None
         if version.commits:
-            rows = spark.read.schema(ARRIVALS_SCHEMA).parquet(*(source.path("arrivals", c) for c in version.commits))
+            rows = _arrivals(source, version.commits)
         return cls.restored(spark, root, version, rows), version.offsets
 
     @classmethod

@@ -8,6 +8,7 @@ committed.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from dataclasses import dataclass
 
@@ -41,20 +42,30 @@ def apply_batch(store: LogStore, batch: DataFrame, number: int, stream: str, top
     version = store.version()
     if version.batches.get(stream, -1) >= number:
         return 0
-    found = decoded(batch)
-    bad = found.where("reason IS NOT NULL")
-    if rejected:
-        bad.select("topic", "partition", "offset", "value", "reason").write.mode("overwrite").parquet(f"{rejected}/stream={stream}/batch={number}")
-    elif (first := bad.select("partition", "offset", "reason").first()) is not None:
-        raise DecodeError(f"{first.reason} at partition {first.partition}, offset {first.offset}")
-    records = found.where("reason IS NULL").select("partition", "offset", *(f"record.{c}" for c in LOG_COLUMNS))
-    wrong = ROUTERS[version.router].routed(records, len(version.shards)).where(F.col("shard") != F.col("partition")).first()
-    if wrong:
-        raise RoutingError(f"host {wrong.host_id!r} came in partition {wrong.partition} but belongs to shard {wrong.shard}")
-    offsets = Offsets()
-    for r in batch.groupBy("partition").agg((F.max("offset") + 1).alias("end")).collect():
+    found = ROUTERS[version.router].routed(decoded(batch).withColumn("host_id", F.col("record.host_id")), len(version.shards))
+    if version.router != "md5" and len(version.shards) > 1:  # hosts are joined back: rows without one went
+        found = found.unionByName(decoded(batch).where("reason IS NOT NULL").selectExpr("*", "cast(null AS string) AS host_id", "cast(null AS int) AS shard"))
+    # one pass: ends, counts, and the first row that is wrong
+    bad, wrong = F.col("reason").isNotNull(), F.col("shard") != F.col("partition")
+    ends = found.groupBy("partition").agg(
+        (F.max("offset") + 1).alias("end"),
+        F.count_if(~bad).alias("n"),
+        F.min(F.when(bad, F.struct("offset", "reason"))).alias("bad"),
+        F.min(F.when(wrong, F.struct("offset", "host_id", "shard"))).alias("wrong"),
+    )
+    offsets, counts = Offsets(), {}
+    for r in ends.collect():
+        if r.bad and not rejected:
+            raise DecodeError(f"{r.bad.reason} at partition {r.partition}, offset {r.bad.offset}")
+        if r.wrong:
+            raise RoutingError(f"host {r.wrong.host_id!r} came in partition {r.partition} but belongs to shard {r.wrong.shard}")
         offsets.set(topic, r.partition, r.end)
-    return store.ingest(records, ("offset",), offsets, stream, number)
+        if r.n:
+            counts[r.partition] = r.n
+    if rejected:
+        found.where(bad).select("topic", "partition", "offset", "value", "reason").write.mode("overwrite").parquet(f"{rejected}/stream={hashlib.md5(stream.encode()).hexdigest()}/batch={number}")
+    records = found.where(~bad).select("partition", "offset", *(f"record.{c}" for c in LOG_COLUMNS))
+    return store.ingest(records, ("offset",), offsets, stream, number, counts)
 
 
 def run_pipeline(spark: SparkSession, topic: Topic, root: str, checkpoint: str, config: PipelineConfig, router: str = "md5", rejected: str | None = None) -> tuple[LogStore, PipelineStats]:

@@ -56,8 +56,9 @@ def bad_batch(spark, partition=0):
     return spark.createDataFrame([(None, good, "logs", partition, 0), (None, bytearray(b"{}"), "logs", partition, 1)], TOPIC_SCHEMA)
 
 
-def test_poison_fails_the_batch_or_goes_aside(spark, tmp_path):
-    store = LogStore.with_shards(spark, f"file://{tmp_path}/store", 10)
+@pytest.mark.parametrize("router", ["md5", "sip13"])
+def test_poison_fails_the_batch_or_goes_aside(spark, tmp_path, router):
+    store = LogStore.with_shards(spark, f"file://{tmp_path}/store", 10, 1, router)
     with pytest.raises(DecodeError, match="offset 1"):
         apply_batch(store, bad_batch(spark), 0, "q", "logs")
     assert store.is_empty() and store.offsets().get("logs", 0) is None
@@ -81,6 +82,14 @@ def test_a_poisoned_topic_stops_the_pipeline(spark, tmp_path, topic):
         run_pipeline(spark, topic, f"file://{tmp_path}/store", f"file://{tmp_path}/c", PipelineConfig(partitions=1, capacity=10))
 
 
+def test_a_poisoned_topic_drains_with_a_place_for_rejects(spark, tmp_path, topic):
+    topic.send(log(spark, 0, 6), 3, ROUTERS["sip13"])
+    bad_batch(spark).where("offset = 1").coalesce(1).write.mode("append").parquet(topic.path)
+    rejected = f"file://{tmp_path}/rejected"
+    store, stats = run_pipeline(spark, topic, f"file://{tmp_path}/store", f"file://{tmp_path}/c", PipelineConfig(partitions=3, capacity=30), "sip13", rejected)
+    assert stats.consumed == 6 == store.len() and spark.read.parquet(rejected).count() == 1
+
+
 def test_messages_and_missing_connectors(spark):
     rows = messages(log(spark, 0, 6), 4).collect()
     assert all(ROUTERS["md5"].shard(bytes(r.key).decode(), 4) == r.partition for r in rows)
