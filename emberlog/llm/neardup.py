@@ -347,7 +347,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     docs = documents_like(docs)
     decided = written(decisions(docs, similarity).select("row", "rows", "stays"), "decided")
     rows = _rows(docs)
-    plain = rows.join(decided.where("NOT stays"), F.col("_row") == F.col("row"), "left_anti")
+    # hashed, so that the texts aren't sorted: the decisions are small beside them, at any scale
+    plain = rows.join(decided.where("NOT stays").hint("shuffle_hash"), F.col("_row") == F.col("row"), "left_anti")
     again = decided.where("stays AND rows > 1")
     if not again.isEmpty():
         same = F.col("_row") == F.col("row")
