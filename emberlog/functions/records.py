@@ -28,32 +28,34 @@ def decoded(df: DataFrame, value: str = "value") -> DataFrame:
     an unknown field is repeated is invalid too.)
     """
     bytes_ = F.col(value).cast("binary")
-    text = F.when(F.is_valid_utf8(bytes_.cast("string")), bytes_.cast("string"))
-    df = df.withColumn("_text", text)
+    df = df.withColumn("_text", F.when(F.is_valid_utf8(bytes_.cast("string")), bytes_.cast("string")))
     # either wrap alone would let some crafted text after the document through
-    both = F.expr("""try_parse_json('{"w":' || _text || '}') IS NOT NULL""") & (F.try_parse_json(F.concat(F.lit("["), F.col("_text"), F.lit("]"))).isNotNull())
-    df = df.withColumn("_v", F.when(both, F.try_parse_json("_text")))
-    kinds = F.schema_of_variant("_v")
-    is_array = kinds.startswith("ARRAY")
+    one = F.expr("""try_parse_json('{"w":' || _text || '}') IS NOT NULL AND try_parse_json('[' || _text || ']') IS NOT NULL""")
+    df = _once(df, "_v", F.when(one, F.try_parse_json("_text")))
+    is_array = F.schema_of_variant("_v").startswith("ARRAY")
+    field = lambda i, name: F.when(is_array, F.try_variant_get("_v", f"$[{i}]", "variant")).otherwise(F.try_variant_get("_v", f"$.{name}", "variant"))
     # an array of four has a fourth element and no fifth
-    path = lambda i, name: F.when(is_array, F.try_variant_get("_v", f"$[{i}]", "variant")).otherwise(F.try_variant_get("_v", f"$.{name}", "variant"))
-    fields = [path(i, name) for i, name in enumerate(LOG_COLUMNS)]
-    fits = F.lit(True)
-    for field, kind in zip(fields, _TYPES):
-        fits &= F.coalesce(F.schema_of_variant(field) == kind, F.lit(False))
-    fits &= ~(is_array & F.try_variant_get("_v", "$[4]", "variant").isNotNull())
-    odd = F.col("_text").rlike(_HIGH_ALONE) | F.col("_text").rlike(_LOW_ALONE) | F.col("_text").rlike(_MINUS_ZERO)
-    record = F.struct(
-        *(F.when(is_array, F.try_variant_get("_v", f"$[{i}]", t)).otherwise(F.try_variant_get("_v", f"$.{n}", t)).alias(n) for i, (n, t) in enumerate(zip(LOG_COLUMNS, ("bigint", "string", "string", "string"))))
-    )
+    fifth = F.coalesce(is_array & F.try_variant_get("_v", "$[4]", "variant").isNotNull(), F.lit(False))
+    df = _once(df, "_f", F.struct(fifth.alias("fifth"), *(field(i, n).alias(n) for i, n in enumerate(LOG_COLUMNS))))
+    fits = ~F.col("_f.fifth")
+    for name, kind in zip(LOG_COLUMNS, _TYPES):
+        fits &= F.coalesce(F.schema_of_variant(f"_f.{name}") == kind, F.lit(False))
+    odd = F.col("_text").contains("\\ud") | F.col("_text").contains("\\uD") | F.col("_text").contains("-0")
+    odd &= F.col("_text").rlike(_HIGH_ALONE) | F.col("_text").rlike(_LOW_ALONE) | F.col("_text").rlike(_MINUS_ZERO)
     reason = (
         F.when(F.col(value).isNull(), "no payload")
         .when(F.col("_text").isNull(), "not UTF-8")
         .when(F.col("_v").isNull(), "not a JSON document")
         .when(~fits | odd, "not a log record")
     )
-    df = df.withColumn("reason", reason)
-    return df.withColumn("record", F.when(F.col("reason").isNull(), record)).drop("_text", "_v")
+    df = _once(df, "reason", reason)
+    record = F.struct(*(F.try_variant_get(f"_f.{n}", "$", t).alias(n) for n, t in zip(LOG_COLUMNS, ("bigint", "string", "string", "string"))))
+    return df.withColumn("record", F.when(F.col("reason").isNull(), record)).drop("_text", "_v", "_f")
+
+
+def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Adds a column as a generator's output: projections above it don't evaluate it again for each use."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
 
 
 def decoded_or_raise(df: DataFrame, value: str = "value") -> DataFrame:

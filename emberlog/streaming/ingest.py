@@ -45,6 +45,14 @@ def apply_batch(store: LogStore, batch: DataFrame, number: int, stream: str, top
     found = ROUTERS[version.router].routed(decoded(batch).withColumn("host_id", F.col("record.host_id")), len(version.shards))
     if version.router != "md5" and len(version.shards) > 1:  # hosts are joined back: rows without one went
         found = found.unionByName(decoded(batch).where("reason IS NOT NULL").selectExpr("*", "cast(null AS string) AS host_id", "cast(null AS int) AS shard"))
+    found = found.persist()  # decoded once; what an executor loses is decoded again
+    try:
+        return _checked(store, found, number, stream, topic, rejected)
+    finally:
+        found.unpersist()
+
+
+def _checked(store: LogStore, found: DataFrame, number: int, stream: str, topic: str, rejected: str | None) -> int:
     # one pass: ends, counts, and the first row that is wrong
     bad, wrong = F.col("reason").isNotNull(), F.col("shard") != F.col("partition")
     ends = found.groupBy("partition").agg(
