@@ -20,35 +20,51 @@ from .common import documents_like, pick, table
 BEFORE, SPAN, AFTER = 32, 64, 16
 WIDE = BEFORE + SPAN + AFTER
 #: Labelled findings that the network is trained on, calibrated on and (for tests) held out.
-TRAINED, CALIBRATED = 3000, 1500
+TRAINED, CALIBRATED = 4500, 1500
 #: Recall on the calibration findings that the threshold must keep.
 RECALL = 0.998
 REDACTED = "<SECRET>"
 
 _RUN = re.compile(r"[A-Za-z0-9_+/=~.\-]{16,}").finditer
-_ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?([^\s\"'<>]{6,})").finditer
+_SIGN = re.compile(r"[=:]").finditer
+# a value ends where a further 'name=' follows a separator
+_VALUE = re.compile(r"\s{0,3}[\"']?((?:(?![&;,]\s?[A-Za-z_][\w .\-]{0,30}[=:])[^\s\"'<>]){6,})").match
+_USERINFO = re.compile(r":(?://[^\s/@:\"'<>]*:([^\s/\"'<>]{6,})|(?<=\w:)(?<!(?i:mail):)(?<!(?i:mailto):)(?<!(?i:contact):)(?<!(?i:from):)(?<!(?i:sip):)([^\s/@:\"'<>]{6,}))@(?=[\w\[])").finditer
 _KEYWORD = re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|(api|access|auth|private|secret)[_-]?key|credential|bearer|auth)[\"']?\s{0,3}$").search
 _MIXED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]").search
 
 
+def _is_run(run: str) -> bool:
+    return len(run) >= 16 and (any(c.isdigit() for c in run) or len(run) >= 20 and bool(_MIXED(run)))
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans, in order and apart, of long runs with digits or mixed case, and of values assigned to
-    a credential's name."""
+    """Spans, in order and apart, of long runs with digits or mixed case, of values assigned to a
+    credential's name (wherever its sign stands, also after other assignments without a space), and
+    of passwords in 'user:password@host'."""
     found = []
     for m in _RUN(text):
         run = m.group().rstrip(".=-") if m.group()[-1] in ".-" else m.group()
-        if len(run) >= 16 and (any(c.isdigit() for c in run) or len(run) >= 20 and _MIXED(run)):
+        if _is_run(run):
             start = m.start()
-            # 'name=value' is one run: the value is the candidate
-            name, sign, value = run.partition("=")
-            if sign and len(value) >= 6 and _KEYWORD(name):
-                start, run = start + len(name) + 1, value
+            # 'name=value' is one run: the value is the candidate, and what other assignments precede it
+            for sign in _SIGN(run):
+                at = sign.start()
+                if len(run) - at > 6 and _KEYWORD(run[max(0, at - 24) : at]):
+                    if "=" in run[:at] and _is_run(run[:at]):
+                        found.append((start, start + at))
+                    start, run = start + at + 1, run[at + 1 :]
+                    break
             found.append((start, start + len(run)))
-    for m in _ASSIGNED(text):
-        if _KEYWORD(text[max(0, m.start() - 24) : m.start()]):
-            value = m.group(1).rstrip(".,;:!)]}#$%&*")
+    until = 0
+    for m in _SIGN(text):
+        # a value's end doesn't depend on where it starts: signs inside a value add nothing
+        if m.end() > until and _KEYWORD(text[max(0, m.start() - 24) : m.start()]) and (v := _VALUE(text, m.end())):
+            until = v.end(1)
+            value = v.group(1).rstrip(".,;:!)]}#$%&*")
             if len(value) >= 6:
-                found.append((m.start(1), m.start(1) + len(value)))
+                found.append((v.start(1), v.start(1) + len(value)))
+    found += [m.span(m.lastindex) for m in _USERINFO(text)]
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a < merged[-1][1]:
@@ -189,7 +205,8 @@ _NAMES = "password passwd pwd secret token api_key apikey access_token auth_toke
 
 def labelled_findings(count: int, seed: int) -> list[tuple[str, str, str, int]]:
     """(before, candidate, after, 1 for a secret): credentials of known and free forms in the places
-    where they occur, and runs that look alike (checksums, ids, card numbers, paths, placeholders)."""
+    where they occur (also among other assignments, and in URLs), and runs that look alike (checksums,
+    ids, card numbers, paths, placeholders, addresses)."""
     rng = random.Random(seed)
     some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     word = lambda: "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4)))
@@ -218,10 +235,34 @@ def labelled_findings(count: int, seed: int) -> list[tuple[str, str, str, int]]:
         lambda: ("", f"{word()}.{rng.randint(1, 99)}{rng.choice(['@mail', '.host'])}{rng.randint(1, 9)}.example.com"),
         lambda: ("", "-".join(word() for _ in range(5)) + f"-{rng.randint(1, 9999)}"),
     )
+    short = lambda: rng.choice([word() + some(string.digits, rng.randint(2, 4)), some(_ALNUM, 6) + rng.choice(string.digits), some(_ALNUM, 4) + rng.choice("!@$%^*_-") + some(_ALNUM, 4) + rng.choice(string.digits)]).rjust(6, "q")
+    names = lambda: rng.choice([str, str, str.capitalize])(rng.choice(["pwd", "password", "token", *_NAMES]))
+    host = lambda: f"{word()}{rng.choice(['', '1', '2'])}.{rng.choice(['local', 'example.com', 'example.net'])}"
+    user = lambda: word() + rng.choice(["", "", some(string.digits, rng.randint(1, 3))])
+    among = (
+        lambda: (f"{rng.choice(['Server', 'Host', 'Data Source'])}={host()};{rng.choice(['Uid', 'User Id'])}={user()};{names()}=", rng.choice(["", ";", f";Timeout={rng.randint(1, 90)}"])),
+        lambda: (f"{rng.choice(['GET /', 'https://' + host() + '/'])}{word()}?{rng.choice(['user', 'state', 'id'])}={user()}&{names()}=", rng.choice(["", "", f"&page={rng.randint(1, 9)}"])),
+        lambda: (f"{rng.choice(['user', 'login', 'name'])}:{user()},{names()}:", rng.choice(["", f",role:{word()}"])),
+        lambda: (f"{rng.choice(['cfg', 'env', 'db', 'args'])}:{names()}=", ""),
+        lambda: (f"{rng.choice(['https', 'postgres', 'redis', 'amqp', 'ftp'])}://{rng.choice([user(), user(), ''])}:", f"@{host()}{rng.choice(['', ':5432', '/' + word()])}"),
+    )
+    dull = lambda: rng.choice(["changeme", "example", "placeholder", "undefined", "required", "xxxxxxxx", "password", "your_password"])
+    apart = (
+        lambda: (rng.choice(["", "db: "]), f"{rng.choice(['Server', 'Host', 'DataSource'])}={host()}".ljust(16, "0"), f";Uid={user()};{names()}={short()}"),
+        lambda: ("https:", f"//{host()}/{word()}/{rng.randint(1, 999)}".ljust(16, "0"), f"?state={user()}&{names()}={short()}"),
+    )
     found = []
     for _ in range(count):
         before, after = prose(), rng.choice([" ", " ", " ", "\n", ". "]) + prose()
-        if rng.random() < 0.5:
+        if rng.random() < 0.3:
+            label = int(rng.random() < 0.5)
+            if label or rng.random() < 0.5:
+                lead, rest = rng.choice(among)()
+                value = rng.choice([short, short, lambda: some(_ALNUM, rng.choice([12, 16, 20, 32]))])() if label else dull()
+            else:
+                lead, value, rest = rng.choice(apart)()
+            before, after = before + lead, rest + after
+        elif rng.random() < 0.5:
             if rng.random() < 0.4:
                 before, value = before + rng.choice(["", "", rng.choice(_NAMES) + rng.choice(["=", ": ", ' = "'])]), rng.choice(known)()
             else:
@@ -293,8 +334,8 @@ def _scanned(model: CharCNN):
 def find_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
     """Credentials in texts: doc_id, start_char, end_char, score (calibrated probability).
 
-    Candidates are all long runs with digits or mixed case and all values assigned to a
-    credential's name, anywhere in a text. The network scores each with its surroundings, and those
+    Candidates are all long runs with digits or mixed case, all values (of 6 characters at least)
+    assigned to a credential's name and all passwords in 'user:password@host', anywhere in a text. The network scores each with its surroundings, and those
     above the recall-constrained threshold are findings. It is trained on the driver from TRAINED
     labelled findings and sent to the executors (about 20 KB). Null and empty texts have no
     findings; null doc_ids stay null; repeated rows are each scanned; an empty table gives an empty
