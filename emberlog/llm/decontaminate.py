@@ -86,11 +86,8 @@ class Template:
         self.first = np.searchsorted(self.kept, w.first)
 
     def windows(self, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(channel, hashes, at, text): of templates (0) with enough literals, and of plain words (1)."""
+        """(channel, hashes, at, text): of templates (0), and of plain words (1)."""
         hashes, at = window_hashes(self.typed, self.first, n)
-        literal = np.concatenate(([0], np.cumsum(self.kind == 0)))
-        few = literal[at + n] - literal[at] >= min(LITERALS, n - 1) if len(at) else np.zeros(0, bool)
-        hashes, at = hashes[few], at[few]
         yield 0, mix(hashes + U(2 * n)), at, np.searchsorted(self.first, at, "right") - 1
         hashes, at = window_hashes(self.plain, self.literal_first, n)
         yield 1, mix(hashes + U(2 * n + 1)), at, np.searchsorted(self.literal_first, at, "right") - 1
@@ -107,7 +104,7 @@ class Template:
         return found
 
 
-HITS = "hash bigint, channel int, n int, key bigint, row bigint, pos int, slots array<string>"
+HITS = "hash bigint, channel int, n int, key bigint, row bigint, pos int, slots array<string>, places array<int>"
 
 
 def _hits(lengths: list[int], filtered, own_length: bool):
@@ -139,10 +136,12 @@ def _hits(lengths: list[int], filtered, own_length: bool):
                             continue
                         k = pa.array(text[keep])
                         slots = [t.slots(int(x), n) if channel == 0 else [] for x in at[keep]]
+                        # the slots' positions in the text
+                        places = [(np.flatnonzero(t.kind[x : x + n]) + x - f).tolist() if channel == 0 else [] for x, f in zip(at[keep], first[text[keep]])]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(hashes[keep].view(np.int64)), pa.array(np.full(len(keep), channel, np.int32)), pa.array(np.full(len(keep), n, np.int32)),
-                             keys.take(k), ids.take(k), pa.array((at[keep] - first[text[keep]]).astype(np.int32)), pa.array(slots, pa.list_(pa.string()))],
-                            ["hash", "channel", "n", "key", "row", "pos", "slots"],
+                             keys.take(k), ids.take(k), pa.array((at[keep] - first[text[keep]]).astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))],
+                            ["hash", "channel", "n", "key", "row", "pos", "slots", "places"],
                         )
 
     return run
@@ -151,9 +150,66 @@ def _hits(lengths: list[int], filtered, own_length: bool):
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         t = Template(batch.column(2))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(np.diff(t.first).astype(np.int32)), pa.array(np.diff(t.literal_first).astype(np.int32))], ["key", "row", "typed", "plain"]
-        )
+        literal = np.concatenate(([0], np.cumsum(t.kind == 0)))[t.first]
+        sizes = [pa.array(np.diff(x).astype(np.int32)) for x in (t.first, t.literal_first, literal)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes], ["key", "row", "typed", "plain", "literals"])
+
+
+def _one_to_one(pairs: set[tuple[str, str]]) -> bool:
+    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+
+def _changed(slots: dict[int, tuple[str, str]], size: int) -> int | None:
+    """How many values of an item are replaced by another, if the replacements are consistent."""
+    pairs = set(slots.values())
+    return sum(a != b for a, b in pairs) if _one_to_one(pairs) else None
+
+
+def _best(found: list[dict], typed: int, plain: int, literals: int) -> tuple[int, int, int] | None:
+    """(covered, item_tokens, slots_changed) of the best alignment by which an item leaked: by
+    windows with LITERALS literals alone if there is one, else by all windows."""
+    strict, loose = [], []
+    for x in found:
+        channel, size = x["channel"], (typed, plain)[x["channel"]]
+        enough = lambda n: n >= COVERED or 2 * n >= size
+        tokens, rich = set(), set()
+        slots = {s["p"]: (s["a"], s["b"]) for s in x["pairs"]}
+        for pos, n in ((y["_pos"], y["n"]) for y in x["spans"]):
+            span = range(pos, pos + n)
+            tokens.update(span)
+            if sum(p not in slots for p in span) >= min(LITERALS, n - 1):
+                rich.update(span)
+        pairs = {v for p, v in slots.items() if p in rich}
+        if enough(len(rich)) and _one_to_one(pairs):
+            n = len(rich)
+            strict.append((n / size, channel, n, -sum(a != b for a, b in pairs), size))
+        loose.append((channel, size, x["offset"], tokens, slots))
+    if strict:
+        _, _, n, changed, size = max(strict)
+        return n, size, -changed
+    ranked = []
+    for channel, size, _, tokens, slots in loose:
+        n, changed = len(tokens), _changed(slots, size)
+        # too few literals are no evidence, unless the item has no more
+        if changed is not None and (n >= COVERED or 2 * n >= size) and (channel or n - len(slots) >= max(1, min(LITERALS, literals))):
+            ranked.append((n / size, channel, n, -changed, size))
+    if ranked:
+        _, _, n, changed, size = max(ranked)
+        return n, size, -changed
+    return None
+
+
+LEAKS = "doc_id bigint, row bigint, item_id bigint, covered int, item_tokens int, slots_changed int"
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.to_pylist()
+        best = [_best(r["found"], r["typed"], r["plain"], r["literals"]) for r in rows]
+        kept = [(r["key"], r["row"], r["item_id"], *b) for r, b in zip(rows, best) if b]
+        columns = list(zip(*kept)) if kept else [[]] * 6
+        types = [pa.int64()] * 3 + [pa.int32()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "row", "item_id", "covered", "item_tokens", "slots_changed"])
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
@@ -167,12 +223,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Tokens are canonical: case and punctuation don't count, and numbers, names (words in title
     case) and units become typed slots. Windows of WINDOW tokens of the documents are hash-joined
-    with those of the items, as templates (with LITERALS words that are no slots at least) and as
-    plain words. Windows of a document and an item with one distance between their positions are
-    an alignment. A template alignment counts only if its slots are consistent: each value of the
-    item is replaced by one value everywhere, and different ones by different ones. An item leaked
-    if an alignment covers COVERED of its tokens, or half of them; ``slots_changed`` counts the
-    slots with another value.
+    with those of the items, as templates and as plain words. Windows of a document and an item with
+    one distance between their positions are an alignment. A template alignment counts only if its
+    slots are consistent: each value of the item is replaced by one value everywhere, and different
+    ones by different ones. An item leaked if an alignment covers COVERED of its tokens, or half of
+    them; ``slots_changed`` counts the slots with another value.
+
+    Template windows with LITERALS words at least that are no slots decide first, as in the SQL. An
+    item that isn't found by them is looked for by all windows, of which an alignment must cover
+    LITERALS literals (or all of an item that has fewer); the SQL doesn't list these leaks.
 
     Items of fewer than WINDOW tokens are one window; those of fewer than SHORTEST are never
     found. Null texts match nothing; null doc_ids and item_ids stay null. Rows that are repeated
@@ -182,7 +241,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items, texts = _keyed(benchmark, "item_id").distinct(), _keyed(docs, "doc_id")
-    sizes = items.mapInArrow(_lengths, "key bigint, row bigint, typed int, plain int")
+    sizes = items.mapInArrow(_lengths, "key bigint, row bigint, typed int, plain int, literals int")
     lengths = list(range(SHORTEST, WINDOW + 1))
     wanted = written(items.mapInArrow(_hits(lengths, None, True), HITS), "item-windows")
     # lengths that no item has need no windows
@@ -192,22 +251,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hashes = [b.column(0).to_numpy() for b in wanted.select("hash").distinct().toArrow().to_batches()]
         filtered = spark.sparkContext.broadcast(np.sort(np.concatenate([*hashes, np.zeros(0, np.int64)]).view(U)))
     found = texts.mapInArrow(_hits(lengths, filtered, False), HITS)
-    w = wanted.select("hash", "channel", "n", F.col("key").alias("item_id"), F.col("row").alias("_item"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"))
-    pairs = found.join(w, ["hash", "channel", "n"]).withColumn("offset", F.col("pos") - F.col("_pos"))
+    w = wanted.select("hash", "channel", "n", F.col("key").alias("item_id"), F.col("row").alias("_item"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"), F.col("places").alias("_places"))
+    pairs = found.drop("places").join(w, ["hash", "channel", "n"]).withColumn("offset", F.col("pos") - F.col("_pos"))
     aligned = pairs.groupBy("key", "row", "item_id", "_item", "channel", "offset").agg(
-        F.array_sort(F.collect_set(F.struct("_pos", "n"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("_slots").alias("a"), F.col("slots").alias("b"))))).alias("pairs"),
-    )
-    fair = "size(array_distinct(transform(pairs, p -> p.a))) = size(pairs) AND size(array_distinct(transform(pairs, p -> p.b))) = size(pairs)"
-    covered = "aggregate(spans, struct(0 AS n, 0 AS e), (s, x) -> struct(s.n + greatest(0, x._pos + x.n - greatest(s.e, x._pos)) AS n, x._pos + x.n AS e)).n"
-    scored = aligned.where(fair).select(
-        "key", "row", "item_id", "_item", "channel", F.expr(covered).alias("covered"), F.expr("size(filter(pairs, p -> p.a <> p.b))").alias("slots_changed")
+        F.collect_set(F.struct("_pos", "n")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("_places").alias("p"), F.col("_slots").alias("a"), F.col("slots").alias("b"))))).alias("pairs"),
     )
-    s = sizes.select(F.col("row").alias("_item"), "typed", "plain").distinct()
-    scored = scored.join(s, "_item").withColumn("item_tokens", F.when(F.col("channel") == 0, F.col("typed")).otherwise(F.col("plain")))
-    best = F.max_by(F.struct("covered", "item_tokens", "slots_changed"), F.struct(F.col("covered") / F.col("item_tokens"), "channel", "covered", -F.col("slots_changed")))
-    leaked = scored.where((F.col("covered") >= COVERED) | (2 * F.col("covered") >= F.col("item_tokens"))).groupBy("key", "row", "item_id").agg(best.alias("b"))
-    return leaked.select(F.col("key").alias("doc_id"), "row", "item_id", "b.covered", "b.item_tokens", "b.slots_changed")
+    whole = aligned.groupBy("key", "row", "item_id", "_item").agg(F.collect_list(F.struct("channel", "offset", "spans", "pairs")).alias("found"))
+    s = sizes.select(F.col("row").alias("_item"), "typed", "plain", "literals").distinct()
+    return whole.join(s, "_item").select("key", "row", "item_id", "typed", "plain", "literals", "found").mapInArrow(_judged, LEAKS)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -62,3 +62,16 @@ def test_every_planted_item_is_found(spark):
     got = {(r.doc_id % 1000, r.item_id) for r in leaks(docs.unionByName(lower), items).select("doc_id", "item_id").collect()}
     assert {i for i, j in got if i == j} == {r.item_id for r in items.collect()}
     assert leaks(docs.unionByName(lower), items).where("doc_id % 1000 = item_id").count() == 2 * items.count()
+
+
+def test_items_dense_in_slots(spark, table_of):
+    items = bench(spark, [(1, "A train travels 60 miles in 2 hours and 90 miles in 3 hours", "x", 1)])
+    docs = table_of(
+        [
+            (1, "so it goes: A train travels 80 km in 4 days and 70 km in 6 days, and so on"),
+            (2, "A train travels 80 km in 4 days and 70 kg in 6 days"),
+            (3, "a list of 80 km in 4 days and of 70 km in 6 days"),
+            (4, "it was 80 km in 4 days and 70 km"),
+        ]
+    )
+    assert found(docs, items) == [(1, 1, True)]
