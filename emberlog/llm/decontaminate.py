@@ -159,10 +159,29 @@ def _one_to_one(pairs: set[tuple[str, str]]) -> bool:
     return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
 
 
+def _ends(longer: str, shorter: str, last: bool) -> bool:
+    """Whether a slot's words end with those of another, or (``last``) begin with them."""
+    return longer == shorter or (longer.startswith(shorter + " ") if last else longer.endswith(" " + shorter[1:]) and longer[0] == shorter[0])
+
+
 def _changed(slots: dict[int, tuple[str, str]], size: int) -> int | None:
-    """How many values of an item are replaced by another, if the replacements are consistent."""
-    pairs = set(slots.values())
-    return sum(a != b for a, b in pairs) if _one_to_one(pairs) else None
+    """How many values of an item are replaced by another, if the replacements are consistent. The
+    item's first and last slot may have absorbed words of the document before and after it."""
+    edges = [(p == size - 1, *slots[p]) for p in (0, size - 1) if p in slots and slots[p][0][0] in f"{NUMBER}{NAME}"]
+    pairs = {v for p, v in slots.items() if p not in (0, size - 1) or slots[p][0][0] not in f"{NUMBER}{NAME}"}
+    if not _one_to_one(pairs):
+        return None
+    known = dict(pairs)
+    for last, a, b in edges:
+        if a not in known:
+            # the value itself, or all words; with the same value at both edges, the words they share
+            other = [d for end, c, d in edges if c == a and end != last]
+            words = b[1:].split(" ")
+            parts = [b[0] + " ".join(words[:k] if last else words[-k:]) for k in range(len(words), 0, -1)]
+            known[a] = next((x for x in (a, *parts) if _ends(b, x, last) and all(_ends(d, x, not last) for d in other) and x not in known.values()), None)
+        if known[a] is None or not _ends(b, known[a], last):
+            return None
+    return sum(a != b for a, b in known.items())
 
 
 def _best(found: list[dict], typed: int, plain: int, literals: int) -> tuple[int, int, int] | None:
@@ -227,7 +246,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one distance between their positions are an alignment. A template alignment counts only if its
     slots are consistent: each value of the item is replaced by one value everywhere, and different
     ones by different ones. An item leaked if an alignment covers COVERED of its tokens, or half of
-    them; ``slots_changed`` counts the slots with another value.
+    them; ``slots_changed`` counts the slots with another value. Adjacent names or numbers are one
+    slot, also across punctuation: where the item begins or ends with a slot, words of the document
+    around it don't count, if no alignment is found with them.
 
     Template windows with LITERALS words at least that are no slots decide first, as in the SQL. An
     item that isn't found by them is looked for by all windows, of which an alignment must cover

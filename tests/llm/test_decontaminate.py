@@ -75,3 +75,28 @@ def test_items_dense_in_slots(spark, table_of):
         ]
     )
     assert found(docs, items) == [(1, 1, True)]
+
+
+def test_words_beside_the_item_in_its_first_and_last_slot(spark, table_of):
+    items = bench(spark, [(1, "Natalia sold clips to 48 of her friends in April and then Natalia sold half as many clips in May", "x", 1), (2, "Ann saw the old grey mare go up the hill and then down to Ann", "x", 1)])
+    copy = "Bob sold clips to 52 of her friends in April and then Bob sold half as many clips in May"
+    docs = table_of(
+        [
+            (1, f"Question: {copy}. Answer: 3"),
+            (2, f"Problem\n{copy}"),
+            (3, f"Question: {copy.replace('Bob', 'Mary Jane')}"),
+            (4, "Question: Tom sold clips to 52 of her friends in April and then Bob sold half as many clips in May"),
+            (5, "Question: Tom saw the old grey mare go up the hill and then down to Tom. Answer: here"),
+            (6, "Question: Tom saw the old grey mare go up the hill and then down to Bob. Answer: here"),
+        ]
+    )
+    # the plain words of 5 and 6 are an alignment of their own
+    assert found(docs, items) == [(1, 1, True), (2, 1, True), (3, 1, True), (5, 2, False), (6, 2, False)]
+
+
+def test_consistent_edges():
+    slots = {0: ("2ann", "2question tom"), 14: ("2ann", "2tom answer")}
+    assert decontaminate._changed(slots, 15) == 1 and decontaminate._changed(slots | {7: ("2ann", "2tom")}, 15) == 1
+    assert decontaminate._changed(slots | {14: ("2ann", "2bob answer")}, 15) is None and decontaminate._changed(slots | {7: ("2ann", "2bob")}, 15) is None
+    assert decontaminate._changed({0: ("13", "12 3"), 5: ("14", "14")}, 9) == 0 and decontaminate._changed({0: ("13", "12 4"), 5: ("19", "14")}, 9) == 2
+    assert decontaminate._changed({0: ("2ann", "2tom"), 5: ("2bob", "2tom")}, 9) is None
