@@ -207,17 +207,39 @@ def _best(found: list[dict], typed: int, plain: int, literals: int) -> tuple[int
         _, _, n, changed, size = max(strict)
         return n, size, -changed
     ranked = []
-    for channel, size, _, tokens, slots in loose:
-        n, changed = len(tokens), _changed(slots, size)
-        # too few literals are no evidence, unless the item has no more
-        if changed is not None and (n >= COVERED or 2 * n >= size) and (channel or n - len(slots) >= max(1, min(LITERALS, literals))):
-            ranked.append((n / size, channel, n, -changed, size))
+    for channel, size in ((0, typed), (1, plain)):
+        for tokens, slots in _joined([x for x in loose if x[0] == channel], size):
+            n, changed = len(tokens), _changed(slots, size)
+            # too few literals are no evidence, unless the item has no more
+            if changed is not None and (n >= COVERED or 2 * n >= size) and (channel or n - len(slots) >= max(1, min(LITERALS, literals))):
+                ranked.append((n / size, channel, n, -changed, size))
     if ranked:
         _, _, n, changed, size = max(ranked)
         return n, size, -changed
     return None
 
 
+def _joined(found: list[tuple], size: int) -> Iterator[tuple[set[int], dict[int, tuple[str, str]]]]:
+    """Tokens and slots of each alignment alone, and with those whose offsets lie less than WINDOW
+    from their neighbour's and less than the item's tokens apart in all, while slots stay consistent."""
+    found = sorted(found, key=lambda x: x[2])
+    for _, _, _, tokens, slots in found:
+        yield tokens, slots
+    to = 0
+    for at in range(len(found)):
+        seen, to = to, max(to, at + 1)
+        while to < len(found) and found[to][2] - found[to - 1][2] < WINDOW and found[to][2] - found[at][2] < size:
+            to += 1
+        if to > seen and to - at > 1:
+            tokens, slots = set(), {}
+            for _, _, _, more, others in sorted(found[at:to], key=lambda x: -len(x[3])):
+                # a token that two alignments cover has one place: that of the longer
+                added = {p: v for p, v in others.items() if p not in tokens}
+                if more - tokens and _changed(slots | added, size) is not None:
+                    tokens, slots = tokens | more, slots | added
+            yield tokens, slots
+
+
 LEAKS = "doc_id bigint, row bigint, item_id bigint, covered int, item_tokens int, slots_changed int"
 
 
@@ -252,7 +274,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Template windows with LITERALS words at least that are no slots decide first, as in the SQL. An
     item that isn't found by them is looked for by all windows, of which an alignment must cover
-    LITERALS literals (or all of an item that has fewer); the SQL doesn't list these leaks.
+    LITERALS literals (or all of an item that has fewer); alignments of near offsets, as words put in
+    or left out of a copy make them, count together there. The SQL doesn't list these leaks.
 
     Items of fewer than WINDOW tokens are one window; those of fewer than SHORTEST are never
     found. Null texts match nothing; null doc_ids and item_ids stay null. Rows that are repeated

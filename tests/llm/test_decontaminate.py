@@ -100,3 +100,13 @@ def test_consistent_edges():
     assert decontaminate._changed(slots | {14: ("2ann", "2bob answer")}, 15) is None and decontaminate._changed(slots | {7: ("2ann", "2bob")}, 15) is None
     assert decontaminate._changed({0: ("13", "12 3"), 5: ("14", "14")}, 9) == 0 and decontaminate._changed({0: ("13", "12 4"), 5: ("19", "14")}, 9) == 2
     assert decontaminate._changed({0: ("2ann", "2tom"), 5: ("2bob", "2tom")}, 9) is None
+
+
+def test_copies_with_words_put_in_and_left_out(spark, table_of):
+    words = [f"w{chr(97 + i // 6)}{chr(97 + i % 6)}" for i in range(36)]
+    items = bench(spark, [(1, " ".join(words), "x", 1)])
+    put_in = words[:12] + ["more"] + words[12:24] + ["more"] + words[24:]
+    left_out = words[:11] + words[12:23] + words[24:]
+    apart = words[:12] + ["other"] * 40 + words[12:24] + ["other"] * 40 + words[24:]
+    docs = table_of([(i, " ".join(x)) for i, x in enumerate((put_in, left_out, apart, words[:12] + ["more"] * 3))])
+    assert sorted((r.doc_id, r.covered, r.item_tokens) for r in leaks(docs, items).collect()) == [(0, 36, 36), (1, 34, 36)]
