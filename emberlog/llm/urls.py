@@ -43,13 +43,21 @@ PART_BYTES, SAMPLED = 32 << 20, 64
 
 _PARTS = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]+)?([^#]*)"
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+#: A host of two labels at least, at the begin of a URL without a scheme.
+_BARE = r"^[^\s/?#:@.]+(?:\.[^\s/?#:@.]+)+\.*(?::[0-9]+)?(?:[/?#]|$)"
+
 
 def _reversed(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(F.lower(F.regexp_replace(host, r"\.+$", "")), r"\.")), ","), F.lit(","))
 
 
 def canonical_key(url: Column) -> Column:
-    """'https://User@M.Example.net:80/a?b#c' -> 'net,example,m,)/a?b'; null if it isn't a URL with a host."""
+    """'https://User@M.Example.net:80/a?b#c' -> 'net,example,m,)/a?b'; null if it isn't a URL with a host.
+    White space around it doesn't count; 'm.example.net/a' and '//m.example.net/a' are URLs too."""
+    url = F.regexp_replace(url, r"^\s+|\s+$", "")
+    bare = F.when(url.startswith("//"), F.concat(F.lit("any:"), url)).when(url.rlike(_BARE), F.concat(F.lit("any://"), url)).otherwise(url)
+    url = F.when(url.rlike(_SCHEME), url).otherwise(bare)
     host, rest = F.regexp_extract(url, _PARTS, 1), F.regexp_extract(url, _PARTS, 2)
     path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
     return F.when(host != "", F.concat(_reversed(host), F.lit(")"), path))
@@ -123,6 +131,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     stack of active rules. A rule goes to every part that its interval meets, so parts are
     complete however the sample falls; neither side is broadcast or collected. The innermost
     rule's action decides; of rules with one prefix the one with the largest rule_id is innermost.
+    A missing scheme and white space around a URL don't matter (the SQL takes URLs as they are).
     URLs that are null or have no host have a null key, no rules, and are kept; rules whose
     pattern is null or has no host cover nothing; repeated rows are each listed. ``rules`` has
     RULE_SCHEMA. Other columns are ignored.

@@ -63,3 +63,12 @@ def test_odd_tables(spark):
         [(1, [], None), (2, [], None), (3, [], None), (5, [1, 5], "allow"), (5, [1, 5], "allow"), (6, [1, 5, 4], "allow"), (7, [None], "block"), (None, [1, 5], "allow")], key=lambda r: repr((r[0],))
     )
     assert got(spark, [], rules) == [] and [r[2] for r in got(spark, found[3:5], [])] == [[], []]
+
+
+def test_urls_without_a_scheme_or_with_blanks_around(spark):
+    host = "adult-x.example.com"
+    found = list(enumerate([f"{host}/a", f"//{host}/a", f" http://{host}/a", f"http://{host} \n", f"{host}", f"M.{host}.:80?b", "/a/b.c", "adult", f"bob@{host}", f"mailto:bob@{host}", f"see {host}", "javascript:x.y()", "//", " "]))
+    rows = got(spark, found, [(1, host, "block"), (2, "c", "block"), (3, "adult", "block")])
+    key = "com,example,adult-x,"
+    keys = [f"{key})/a"] * 3 + [f"{key})/"] * 2 + [f"{key}m,)/?b"] + [None] * 8
+    assert rows == sorted([(i, k, [1] if k else [], "block" if k else None) for i, k in enumerate(keys)], key=repr)
