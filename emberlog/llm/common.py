@@ -93,25 +93,50 @@ def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     ).cast(pa.binary())
 
 
+def _restarted(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Running sums of ``steps`` that begin anew in each cut of ``counts`` values."""
+    if not len(steps):
+        return steps
+    total = np.cumsum(steps)
+    begin = (np.cumsum(counts) - counts)[counts > 0]
+    return total - np.repeat(total[begin] - steps[begin], counts[counts > 0])
+
+
 def encode_ascending(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Each cut of ``values`` (ascending non-negative integers) as bytes of its differences, where
-    255 means 255 and more to follow."""
-    n = len(values)
-    if not n:
+    """Each cut of ``values`` (ascending non-negative integers) as its differences, seven bits a byte:
+    what a value costs depends on its distance to the one before, not on how far the cut reaches."""
+    if not len(values):
         return pa.array([b""] * (len(bounds) - 1), pa.binary())
     step = np.diff(values, prepend=0)
     begin = bounds[:-1][bounds[:-1] < bounds[1:]]
     step[begin] = values[begin]
-    more, last = np.divmod(step, 255)
-    stop = np.cumsum(more + 1)
-    out = np.full(stop[-1], 255, np.uint8)
-    out[stop - 1] = last
+    size = np.ones(len(step), np.int64)
+    most = int(step.max())
+    for k in range(1, 9):
+        if most >> 7 * k == 0:
+            break
+        size += step >= 1 << 7 * k
+    stop = np.cumsum(size)
+    at = stop - size
+    out = np.zeros(stop[-1], np.uint8)
+    for k in range(int(size.max())):
+        some = np.flatnonzero(size > k)
+        out[at[some] + k] = (step[some] >> 7 * k & 127) | np.where(size[some] > k + 1, 128, 0)
     return binaries(out, np.concatenate(([0], stop))[bounds])
 
 
-def decode_ascending(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    return np.cumsum(raw, dtype=np.int64)[raw != 255]
+def decode_ascending(cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all cuts, and how many each has."""
+    raw = np.frombuffer(b"".join(cuts), np.uint8)
+    last = np.flatnonzero(raw < 128)
+    counts = np.diff(np.searchsorted(last, np.cumsum([0, *map(len, cuts)])))
+    first = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
+    size = last - first + 1
+    step = np.zeros(len(last), np.int64)
+    for k in range(int(size.max(initial=0))):
+        some = np.flatnonzero(size > k)
+        step[some] |= (raw[first[some] + k] & 127).astype(np.int64) << 7 * k
+    return _restarted(step, counts), counts
 
 
 def joined(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:

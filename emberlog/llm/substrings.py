@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .windows import Slice, repeated_windows
+from .windows import Bundle, repeated_windows
 
 #: Words of a window: passages of at least so many words that repeat are found.
 WINDOW = 50
@@ -17,7 +17,7 @@ def _intervals(words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("n_words", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        s = Slice(group)
+        s = Bundle(group)
         if not len(s.at):
             return schema.empty_table()
         begin = np.flatnonzero(np.concatenate(([True], (s.doc[1:] != s.doc[:-1]) | (s.pos[1:] > s.pos[:-1] + words))))
@@ -32,13 +32,14 @@ def repeated_passages(docs: DataFrame, words: int = WINDOW) -> DataFrame:
     """Maximal intervals of words, [start_word, end_word), covered by windows of ``words`` words
     that occur more than once in ``docs``, in one text or several.
 
-    Every window of every text is hashed (Rabin-Karp, 64 bits) and counted; overlapping or
-    touching repeated windows of a text merge. Each interval of each copy is listed: the caller
-    decides which copy stays. A null text, like an empty one, has no words; a null doc_id stays
-    null; rows that are the same are copies of each other, and each is listed. Words are runs of
-    other than ASCII white space. An empty table gives an empty result; other columns are ignored.
+    Every window of every text, however long, is hashed (Rabin-Karp, 64 bits) and counted;
+    overlapping or touching repeated windows of a text merge. Each interval of each copy is listed:
+    the caller decides which copy stays. A null text, like an empty one, has no words; a null doc_id
+    stays null; rows that are the same are copies of each other, and each is listed: there are no
+    ties to break. Words are runs of other than ASCII white space. An empty table gives an empty
+    result; other columns are ignored.
     """
-    return repeated_windows(docs, words).groupBy("slice").applyInArrow(_intervals(words), "doc_id bigint, start_word bigint, end_word bigint, n_words bigint")
+    return repeated_windows(docs, words).groupBy("bundle").applyInArrow(_intervals(words), "doc_id bigint, start_word bigint, end_word bigint, n_words bigint")
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

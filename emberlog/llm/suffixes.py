@@ -11,7 +11,10 @@ make the suffix arrays small:
    at chains whose left neighbours differ (*heads*) are sorted.
 
 Each head has a leader, the least of the runs that hold it. Runs go once to each of their leaders,
-which builds one enhanced suffix array for all its heads.
+from the first head on (a *tail*). Tails that are the same symbol for symbol are one leaf, however
+many texts have them, and their occurrences take no part in the sorting: a passage that a share of all
+documents has is as many leaves as there are continuations of it. Each leader builds one enhanced
+suffix array for all its heads, and its ranks are joined to the occurrences.
 """
 
 from __future__ import annotations
@@ -26,21 +29,16 @@ from pyspark.sql import functions as F
 from .common import group_bounds, table, written
 from .substrings import WINDOW
 from .textarrays import STEP, U, mix
-from .windows import Slice, repeated_windows
+from .windows import Bundle, repeated_windows
 
+_SUFFIX = U(0xB5C18A6E4F9D2E35)
 RUNS = "run bigint, doc_id bigint, start bigint, chains array<bigint>, lens array<int>"
-GROUPS = (
-    "head bigint, doc_ids array<bigint>, start_words array<bigint>, groups array<struct<first: int, last: int, n_words: bigint>>, "
-    "n_words bigint"
-)
-_GROUPS = pa.schema(
-    [
-        ("head", pa.int64()),
-        ("doc_ids", pa.list_(pa.int64())),
-        ("start_words", pa.list_(pa.int64())),
-        ("groups", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("n_words", pa.int64())]))),
-        ("n_words", pa.int64()),
-    ]
+GROUP = "struct<last: int, n_words: bigint>"
+PLACED = f"leader bigint, tail bigint, places array<struct<head: bigint, words: bigint, rank: int, n_words: bigint, groups: array<{GROUP}>>>"
+_PLACES = pa.list_(
+    pa.struct(
+        [("head", pa.int64()), ("words", pa.int64()), ("rank", pa.int32()), ("n_words", pa.int64()), ("groups", pa.list_(pa.struct([("last", pa.int32()), ("n_words", pa.int64())])))]
+    )
 )
 
 
@@ -49,8 +47,8 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 
 
 def _runs(group: pa.Table) -> pa.Table:
-    """The runs of repeated windows of a slice's texts, as sequences of chains."""
-    s = Slice(group)
+    """The runs of repeated windows of a bundle's texts, as sequences of chains."""
+    s = Bundle(group)
     n = len(s.at)
     if not n:
         return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))], ["run", "doc_id", "start", "chains", "lens"])
@@ -62,23 +60,30 @@ def _runs(group: pa.Table) -> pa.Table:
     lens = np.diff(np.append(chain, n)).astype(np.int32)
     run = np.flatnonzero(apart)
     bounds = np.append(np.searchsorted(chain, run), len(chain))
-    name = np.int64(group["slice"][0].as_py()).view(U)
-    names = mix(name + s.at[run].astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
+    names = mix(s.name.view(U) + s.at[run].astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
     doc = s.doc[run]
     ids = pa.array(s.ids[doc], mask=~s.valid[doc])
     return pa.table([pa.array(names), ids, pa.array(s.pos[run]), _lists(s.sums[chain].view(np.int64), bounds), _lists(lens, bounds)], ["run", "doc_id", "start", "chains", "lens"])
 
 
-SENT = "leader bigint, doc_id bigint, start bigint, left bigint, chains array<bigint>, lens array<int>, heads array<int>"
+TAILS = "leader bigint, tail bigint, run bigint, doc_id bigint, start bigint, left bigint, chains array<bigint>, lens array<int>, heads array<int>"
 
 
-def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run and each of its leaders: the run from the first head of that leader on."""
+    names = ["leader", "tail", "run", "doc_id", "start", "left", "chains", "lens", "heads"]
+    kinds = (*[pa.int64()] * 6, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             chains, lens = r["chains"], np.array(r["lens"], np.int64)
             ends = np.concatenate(([0], np.cumsum(lens)))
+            # hashes of all suffixes at once: sums of places' worths, scaled to begin at each place
+            symbols = np.array(chains, np.int64).view(U)
+            power = np.cumprod(np.full(len(chains), _SUFFIX, U)) * U(pow(int(_SUFFIX), -1, 2**64))
+            sums = np.cumsum((mix(symbols) * power)[::-1])[::-1]
+            back = np.cumprod(np.full(len(chains), pow(int(_SUFFIX), -1, 2**64), U)) * _SUFFIX
+            hashes = mix(sums * back + np.arange(len(chains), 0, -1, dtype=U)).view(np.int64)
             by: dict[int, list[int]] = {}
             for h in r["heads"]:
                 by.setdefault(h["leader"], []).append(h["k"])
@@ -87,10 +92,9 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k = at[0]
                 # without a repeated window before it, an occurrence's left neighbour is like no other's
                 left = chains[k - 1] if k else r["run"]
-                rows.append((leader, r["doc_id"], r["start"] + int(ends[k]), left, chains[k:], r["lens"][k:], [x - k for x in at]))
+                rows.append((leader, int(hashes[k]), r["run"], r["doc_id"], r["start"] + int(ends[k]), left, chains[k:], r["lens"][k:], [x - k for x in at]))
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["leader", "doc_id", "start", "left", "chains", "lens", "heads"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
 def rank_levels(symbols: np.ndarray, remaining: np.ndarray) -> list[np.ndarray]:
@@ -146,7 +150,21 @@ def interval_tree(lcp: list[int], left: list[int]) -> list[tuple[int, int, int]]
     return out
 
 
+def longest(tree: list[tuple[int, int, int]], count: int) -> list[int]:
+    """Of each of ``count`` suffixes, the length of the longest repeat that it belongs to (0 if none)."""
+    found, open_, at = [0] * count, [], 0
+    for first, last, length in tree:  # inner ones come before outer ones
+        open_.extend(range(at, last + 1))
+        at = max(at, last + 1)
+        while open_ and open_[-1] >= first:
+            found[open_.pop()] = length
+    return found
+
+
 def _trees(words: int):
+    """Over the distinct tails of a leader: their ranks in the suffix arrays of its heads, the longest
+    repeat at each, and the groups that begin at each rank."""
+
     def run(group: pa.Table) -> pa.Table:
         chains, lens, heads = (group[c].combine_chunks() for c in ("chains", "lens", "heads"))
         symbols, sizes = chains.values.to_numpy(), lens.values.to_numpy().astype(np.int64)
@@ -160,51 +178,77 @@ def _trees(words: int):
         head_bounds = heads.offsets.to_numpy().astype(np.int64)
         at = heads.values.to_numpy()[head_bounds[0] : head_bounds[-1]] + np.repeat(bounds[:-1], np.diff(head_bounds))
         at = at[np.lexsort((at, levels[-1][at], symbols[at]))]
-        same = symbols[at[1:]] == symbols[at[:-1]]
-        common = common_prefixes(levels, remaining, at[:-1], at[1:])
-        length = np.where(same, upto[at[:-1] + common] - upto[at[:-1]] + words - 1, 0)
-        start = group["start"].to_numpy()[owner[at]] + upto[at] - upto[bounds[:-1]][owner[at]]
-        first_of_run = at == bounds[:-1][owner[at]]
-        left = np.where(first_of_run, group["left"].to_numpy()[owner[at]], symbols[np.maximum(at - 1, 0)])
-        docs = group["doc_id"].combine_chunks().take(pa.array(owner[at]))
-        found, cuts = group_bounds(symbols[at])
-        rows, order = [], []
+        # a tail that occurs more than once is two leaves, which have all of it in common
+        many = (group["n"].to_numpy() > 1)[owner[at]]
+        leaf = np.repeat(np.arange(len(at)), 1 + many)
+        pos, second = at[leaf], np.concatenate(([False], leaf[1:] == leaf[:-1]))
+        common = np.where(second[1:], remaining[pos[:-1]], common_prefixes(levels, remaining, pos[:-1], pos[1:]))
+        length = upto[pos[:-1] + common] - upto[pos[:-1]] + words - 1
+        begins = pos == bounds[:-1][owner[pos]]
+        edge = np.where(second, group["high"].to_numpy()[owner[pos]], group["low"].to_numpy()[owner[pos]])
+        left = np.where(begins, edge, symbols[np.maximum(pos - 1, 0)])
+        found, cuts = group_bounds(symbols[pos])
+        places: list[list[dict]] = [[] for _ in count]
         for k, symbol in enumerate(found):
             a, b = int(cuts[k]), int(cuts[k + 1])
             tree = interval_tree(length[a : b - 1].tolist(), left[a:b].tolist())
-            if tree:
-                rows.append((int(symbol), tree, max(t[2] for t in tree)))
-                order.append((a, b))
-        places = np.concatenate([np.arange(a, b) for a, b in order]) if order else np.zeros(0, np.int64)
-        ends = np.concatenate(([0], np.cumsum([b - a for a, b in order]))).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), v) for v in (docs.take(pa.array(places)), pa.array(start[places]))]
-        trees = pa.array([[{"first": f, "last": t, "n_words": n} for f, t, n in tree] for _, tree, _ in rows], _GROUPS.field("groups").type)
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), *lists, trees, pa.array([r[2] for r in rows], pa.int64())], schema=_GROUPS)
+            if not tree:
+                continue
+            base, ends = int(leaf[a]), longest(tree, b - a)
+            groups: dict[int, list[dict]] = {}
+            for first, last, n in tree:
+                groups.setdefault(int(leaf[a + first]), []).append({"last": int(leaf[a + last]) - base, "n_words": n})
+            for i in range(a, b):
+                if not second[i] and ends[i - a]:
+                    p, o = int(pos[i]), int(owner[pos[i]])
+                    places[o].append({"head": int(symbol), "words": int(upto[p] - upto[bounds[o]]), "rank": int(leaf[i]) - base, "n_words": ends[i - a], "groups": groups.get(int(leaf[i]), [])})
+        return pa.table([group["leader"], group["tail"], pa.array(places, _PLACES)], names=["leader", "tail", "places"])
 
     return run
 
 
 def maximal_repeats(docs: DataFrame, words: int = WINDOW) -> DataFrame:
     """All maximal repeats of at least ``words`` words, with all their occurrences:
-    head, doc_ids, start_words, groups, n_words.
-
-    A row has the occurrences of one beginning, in the order of its suffix array: text ``doc_ids[i]``
-    from word ``start_words[i]``. Each of its ``groups`` is a maximal repeat: ``n_words`` words that
-    occurrences first..last (from 0, both included) have in common and no others have. So nested
-    repeats share one list, and the result is linear in the occurrences. The words after a repeat
-    differ between its occurrences, and so do those before it; a text's begin and end differ from all.
-
-    Null and empty texts have no words; null doc_ids stay null; rows that are repeated are copies of
-    each other, each with its occurrences; a text can repeat itself. An empty table gives an empty result; other columns are ignored. Words are runs of
-    other than ASCII white space. Windows are compared by 64-bit hashes.
+    head, rank, doc_id, start_word, n_words, groups.
+
+    A row is an occurrence of a beginning (``head``): the text of ``doc_id`` from word ``start_word``
+    on, its ``rank`` in the suffix array of that beginning, and the words of the longest maximal
+    repeat that begins there. Occurrences that continue alike as far as anything repeats share a
+    rank. ``groups`` are the maximal repeats whose ranks begin with the row's: the occurrences of
+    the head with ranks from ``rank`` to ``last`` have ``n_words`` words in common, and no others
+    have. They are listed at one of the rows with that rank (the other rows' lists are empty), so nested repeats share
+    rows, and the result is linear in the occurrences (``expanded`` gives each group its own). The
+    words after a repeat differ between its occurrences, and so do those before it; a text's begin
+    and end differ from all.
+
+    Null and empty texts have no words; very long texts are treated like others; null doc_ids stay
+    null; rows that are repeated are copies of each other, each with its occurrences (ties in rank);
+    a text can repeat itself. An empty table gives an empty result; other columns are ignored. Words
+    are runs of other than ASCII white space. Windows are compared by 64-bit hashes.
     """
-    runs = written(repeated_windows(docs, words, sums=True).groupBy("slice").applyInArrow(_runs, RUNS), "runs")
+    runs = written(repeated_windows(docs, words, sums=True).groupBy("bundle").applyInArrow(_runs, RUNS), "runs")
     each = runs.select("run", F.posexplode("chains").alias("k", "chain"), "chains").select("run", "k", "chain", F.expr("get(chains, k - 1)").alias("left"))
     found = each.groupBy("chain").agg(F.count("*").alias("n"), F.count("left").alias("lefts"), F.min("left").alias("low"), F.max("left").alias("high"), F.min("run").alias("leader"))
     heads = written(found.where("lefts < n OR low <> high").select("chain", "leader"), "heads")
     placed = each.select("run", "k", "chain").join(heads, "chain").groupBy("run").agg(F.collect_list(F.struct("leader", "k")).alias("heads"))
-    sent = runs.join(placed, "run").select("run", "doc_id", "start", "chains", "lens", "heads").mapInArrow(_sent, SENT)
-    return sent.groupBy("leader").applyInArrow(_trees(words), GROUPS)
+    tails = written(runs.join(placed, "run").select("run", "doc_id", "start", "chains", "lens", "heads").mapInArrow(_tails, TAILS), "tails")
+    leaves = tails.groupBy("leader", "tail").agg(
+        *(F.first(c).alias(c) for c in ("chains", "lens", "heads")), F.count("*").alias("n"), F.min("left").alias("low"), F.max("left").alias("high"), F.min("run").alias("lister")
+    )
+    leaves = written(leaves, "leaves")
+    ranked = leaves.drop("lister").groupBy("leader").applyInArrow(_trees(words), PLACED)
+    ranked = ranked.join(leaves.select("leader", "tail", "lister"), ["leader", "tail"])
+    rows = tails.select("leader", "tail", "run", "doc_id", "start").join(ranked, ["leader", "tail"])
+    rows = rows.select("doc_id", "start", (F.col("run") == F.col("lister")).alias("lists"), F.explode("places").alias("p"))
+    groups = F.when(F.col("lists"), F.col("p.groups")).otherwise(F.array().cast(f"array<{GROUP}>"))
+    return rows.select("p.head", "p.rank", "doc_id", (F.col("start") + F.col("p.words")).alias("start_word"), "p.n_words", groups.alias("groups"))
+
+
+def expanded(repeats: DataFrame) -> DataFrame:
+    """A row for each maximal repeat and each of its occurrences: head, first, last, n_words, doc_id, start_word.
+    Nested repeats list the same places again: the rows can be more than linear."""
+    groups = repeats.select("head", F.col("rank").alias("first"), F.explode("groups").alias("g")).select("head", "first", "g.last", "g.n_words")
+    return groups.join(repeats.select("head", "rank", "doc_id", "start_word"), "head").where("rank BETWEEN first AND last").drop("rank")
 
 
 def op5_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
