@@ -63,16 +63,18 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, max_tokens: int = MAX_TO
     Token counts of whole texts are taken once and written; their histogram over the corpus (at
     most ``max_tokens`` rows) gives the boundaries with the least padding. A batch of a bucket
     holds ``budget // bucket_tokens`` sequences, and only a bucket's last one is not full.
-    Documents of more than ``max_tokens`` tokens become pieces of that size and a rest. Null and
-    empty texts have no tokens and no sequence; null doc_ids stay; repeated rows are sequences
-    each. An empty table gives an empty result. Other columns are ignored.
+    Documents of more than ``max_tokens`` tokens, however long, become pieces of that size and a
+    rest. Null and empty texts have no tokens and no sequence; null doc_ids stay; repeated rows are
+    sequences each, and rows with the same doc_id (or none) are spread over tasks like others. Of
+    equally good boundaries the dynamic programming's first is taken. An empty table gives an empty
+    result. Other columns are ignored.
     """
     if budget < max_tokens:
         raise ValueError("a batch must hold a sequence of max_tokens")
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    counts = written(docs.mapInArrow(counted(vocabulary), "doc_id bigint, n_tokens bigint").where("n_tokens > 0"), "token-counts")
-    pieces = counts.select("doc_id", "n_tokens", F.explode(F.expr(f"sequence(0, cast((n_tokens - 1) div {max_tokens} as int))")).alias("piece")).select(
-        "doc_id", "piece", F.least(F.lit(max_tokens), F.col("n_tokens") - F.col("piece") * max_tokens).cast("int").alias("n_tokens")
+    counts = written(docs.mapInArrow(counted(vocabulary), "doc_id bigint, row bigint, n_tokens bigint").where("n_tokens > 0"), "token-counts")
+    pieces = counts.select("doc_id", "row", "n_tokens", F.explode(F.expr(f"sequence(0, cast((n_tokens - 1) div {max_tokens} as int))")).alias("piece")).select(
+        "doc_id", "row", "piece", F.least(F.lit(max_tokens), F.col("n_tokens") - F.col("piece") * max_tokens).cast("int").alias("n_tokens")
     )
     histogram = {r.n_tokens: r.n for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     bounds = best_boundaries(histogram, buckets)
@@ -80,10 +82,10 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, max_tokens: int = MAX_TO
     bucket = F.lit(None).cast("int")
     for b in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(bucket)
-    keyed = pieces.withColumn("bucket_tokens", bucket).withColumn("_part", F.expr(f"cast(pmod(xxhash64(doc_id, piece), {parts}) as int)"))
+    keyed = pieces.withColumn("bucket_tokens", bucket).withColumn("_part", F.expr(f"cast(pmod(xxhash64(row, piece), {parts}) as int)"))
     before = keyed.groupBy("bucket_tokens", "_part").agg(F.count("*").alias("_n"))
     before = before.select("bucket_tokens", "_part", (F.sum("_n").over(W.partitionBy("bucket_tokens").orderBy("_part")) - F.col("_n")).alias("_before"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(W.partitionBy("bucket_tokens", "_part").orderBy("doc_id", "piece", "n_tokens")) - 1)
+    ranked = keyed.withColumn("_rank", F.row_number().over(W.partitionBy("bucket_tokens", "_part").orderBy("doc_id", "row", "piece")) - 1)
     batch = F.expr(f"(_before + _rank) div ({budget} div bucket_tokens)")
     return ranked.join(before, ["bucket_tokens", "_part"]).select("doc_id", "piece", "n_tokens", "bucket_tokens", batch.alias("batch"))
 

@@ -133,10 +133,15 @@ class Words:
 
     def hashes(self, values: np.ndarray = _BYTE) -> np.ndarray:
         """A 64-bit hash of each word; ``values`` may map several bytes to one value."""
-        up, down = _bytes_powers.get(len(self.raw) + 1)
-        sums = np.zeros(len(self.raw) + 1, U)
-        np.cumsum(values[self.raw] * up[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        return hashes_between(self.raw, self.start, self.end, values)
+
+
+def hashes_between(raw: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes."""
+    up, down = _bytes_powers.get(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, U)
+    np.cumsum(values[raw] * up[:-1], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
 
 
 def window_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
