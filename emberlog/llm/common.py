@@ -107,21 +107,20 @@ def encode_ascending(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     what a value costs depends on its distance to the one before, not on how far the cut reaches."""
     if not len(values):
         return pa.array([b""] * (len(bounds) - 1), pa.binary())
-    step = np.diff(values, prepend=0)
+    step = np.diff(values, prepend=values.dtype.type(0))
     begin = bounds[:-1][bounds[:-1] < bounds[1:]]
     step[begin] = values[begin]
-    size = np.ones(len(step), np.int64)
-    most = int(step.max())
+    most, size = int(step.max()), np.ones(len(step), np.uint8)
     for k in range(1, 9):
         if most >> 7 * k == 0:
             break
         size += step >= 1 << 7 * k
-    stop = np.cumsum(size)
-    at = stop - size
+    stop = np.cumsum(size, dtype=np.int64)
     out = np.zeros(stop[-1], np.uint8)
-    for k in range(int(size.max())):
+    out[stop - size] = step & 127 | np.where(size > 1, 128, 0)
+    for k in range(1, int(size.max())):
         some = np.flatnonzero(size > k)
-        out[at[some] + k] = (step[some] >> 7 * k & 127) | np.where(size[some] > k + 1, 128, 0)
+        out[stop[some] - size[some] + k] = step[some] >> 7 * k & 127 | np.where(size[some] > k + 1, 128, 0)
     return binaries(out, np.concatenate(([0], stop))[bounds])
 
 

@@ -25,7 +25,9 @@ from .common import binaries, decode_ascending, encode_ascending, group_bounds,
 from .textarrays import STEP, U, Words, mix, places, slices, window_hashes
 
 #: Bytes of text whose windows are sent together.
-BUNDLE_BYTES = 16 << 20
+BUNDLE_BYTES = 8 << 20
+#: Bytes of hashes in a batch that a worker hands over.
+HANDED = 2 << 20
 #: Estimated bytes of compressed text per part: about a million windows.
 PART_BYTES = 4 << 20
 #: Tasks of the exchange for each split of the scan (spark.sql.files.maxPartitionBytes).
@@ -42,13 +44,24 @@ def _texts(doc: np.ndarray, valid: np.ndarray, first: np.ndarray) -> bytes:
     return np.int64(len(doc)).tobytes() + doc.tobytes() + first.tobytes() + valid.tobytes()
 
 
+def pieces(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of cuts with about ``most`` values each; a longer cut is a range of its own."""
+    at, n = 0, len(bounds) - 1
+    while at < n:
+        to = min(max(int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1, at + 1), n)
+        yield at, to
+        at = to
+
+
 def _sent(words: int, tasks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["task", "bundle", "hashes", "at"]
 
     def bundle(held: list[tuple], serial: int) -> Iterator[pa.RecordBatch]:
         ids, counts, hashes, starts, sums = zip(*held)
         ends = np.cumsum([0, *(int(c.sum()) for c in counts)])
-        hashes, at = np.concatenate(hashes), np.concatenate([a + e for a, e in zip(starts, ends)])
+        # word numbers of a bundle fit in 32 bits, unless one text alone has more
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        hashes, at = np.concatenate(hashes), np.concatenate([(a + e).astype(kind) for a, e in zip(starts, ends)])
         if not len(at):
             return
         ids = pa.chunked_array(ids, pa.int64())
@@ -59,7 +72,11 @@ def _sent(words: int, tasks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         task = ((hashes >> U(32)) % U(tasks)).astype(np.uint16 if tasks <= 65536 else np.int32)
         order = np.argsort(task, kind="stable")
         to, bounds = group_bounds(task[order])
-        yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(to), name)), binaries(hashes[order], bounds), encode_ascending(at[order], bounds)], names)
+        to, hashes, at = to.astype(np.int32), hashes[order], at[order]
+        for a, b in pieces(bounds, HANDED // 8):
+            mine = slice(bounds[a], bounds[b])
+            cuts = bounds[a : b + 1] - bounds[a]
+            yield pa.RecordBatch.from_arrays([pa.array(to[a:b]), pa.array(np.full(b - a, name)), binaries(hashes[mine], cuts), encode_ascending(at[mine], cuts)], names)
         home = [pa.array([int(name % tasks)], pa.int32()), pa.array([name]), pa.nulls(1, pa.binary()), pa.array([_texts(doc, valid, first)], pa.binary())]
         yield pa.RecordBatch.from_arrays(home, names)
 
