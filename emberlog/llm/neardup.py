@@ -1,4 +1,10 @@
-"""Operator 2, MinHash near-dedup with tensored banding."""
+"""Operator 2, MinHash near-dedup with tensored banding.
+
+Two small collections of bands are hashed, and each pair of a band of the one and a band of the other
+keys a table: BAND**2 tables from 2 * BAND * WIDTH min-hashes. Nodes (distinct shingle sets) that share
+a key meet; candidates are verified one pair at a time by the exact similarity of their sets, and only
+verified pairs are connected.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, documents_like, group_bounds, parts_for, pick, table, written
+from .common import binaries, documents_like, group_bounds, joined, parts_for, pick, table, written
 from .textarrays import PLAIN_BETWEEN, PLAIN_BYTE, U, Words, mix, slices
+from .windows import pieces, shares
 
 #: Words of a shingle, and the least Jaccard similarity of near copies.
 SHINGLE, SIMILARITY = 2, 0.6
@@ -19,10 +26,11 @@ SHINGLE, SIMILARITY = 2, 0.6
 #: meets in some table with probability (1 - (1 - s**WIDTH)**BAND)**2: 0.977 at 0.6, 0.9997 at 0.8.
 BAND, WIDTH = 10, 2
 HASHES = 2 * BAND * WIDTH
-#: Pairs whose min-hashes agree less than this are not verified: 3.3 deviations below SIMILARITY.
-LEAST_AGREEMENT = 0.35
-#: Largest Bloom filter that is sent to executors; beyond it, all shingle sets are shuffled.
-BLOOM_BYTES = 8 << 20
+#: Nodes whose keys are sent together, and bytes of keys in a batch that a worker hands over.
+TOGETHER, HANDED = 20_000, 2 << 20
+#: Bits of the Bloom filter of candidates, at any size of the corpus: with few candidates it keeps
+#: nearly all other sets out of the shuffle, with very many it lets them pass.
+BLOOM_BITS, BLOOM_HASHES, BLOOM_CUTS = 1 << 25, 4, 64
 
 _RNG = np.random.Generator(np.random.PCG64(20))
 _MULTIPLY = _RNG.integers(0, 2**31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -86,92 +94,95 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(name), binaries(sig.ravel(), cut)], ["doc_id", "row", "node", "sig"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, sig) -> one row for each band of the first collection, with the second collection and
-    one byte of each min-hash."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-        band, n = bands(sig), len(sig)
-        second = (band[:, BAND:] >> U(32)).astype(np.uint32)
-        rest = np.concatenate((second.view(np.uint8), (sig >> np.uint32(24) ^ sig & np.uint32(255)).astype(np.uint8)), axis=1)
-        rest = binaries(rest.ravel(), np.arange(n + 1) * rest.shape[1])
-        for i in range(BAND):
-            key = mix(band[:, i] + U(i)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node"), rest], ["key", "node", "rest"])
-
-
-def _linked(rest: np.ndarray, row: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which of ``others`` share a table with ``row`` and agree in enough min-hashes."""
-    second, sketch = rest[:, : 4 * BAND].view(np.uint32), rest[:, 4 * BAND :]
-    close = (second[others] == second[row]).any(1)
-    found = others[close]
-    return found[(sketch[found] == sketch[row]).mean(1) >= LEAST_AGREEMENT]
-
-
-def bucket_edges(nodes: np.ndarray, rest: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges that connect what the bucket's candidate pairs connect: a star for each leader, then
-    one edge at least between stars that any pair of members links."""
-    left, stars = np.arange(len(nodes)), []
-    while len(left):
-        leader, others = left[0], left[1:]
-        mine = _linked(rest, leader, others)
-        for m in mine:
-            yield nodes[leader], nodes[m]
-        stars.append(np.concatenate(([leader], mine)))
-        left = np.setdiff1d(others, mine, assume_unique=True)
-    if len(stars) == 1 or len(stars) == len(nodes):  # no two leaders are linked
-        return
-    star_of = np.empty(len(nodes), np.int64)
-    for k, members in enumerate(stars):
-        star_of[members] = k
-    for k, members in enumerate(stars):
-        later = np.flatnonzero(star_of > k)
-        for m in members:
-            if not len(later):
-                break
-            for other in np.unique(star_of[_linked(rest, m, later)]):
-                yield nodes[m], nodes[stars[other][0]]
-                later = later[star_of[later] != other]
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by key: the edges of each bucket. A bucket may run over several batches."""
-    held: list[pa.RecordBatch] = []
-
-    def flush(rows: pa.Table) -> pa.RecordBatch | None:
-        keys, nodes = rows["key"].to_numpy(), rows["node"].to_numpy()
-        _, bounds = group_bounds(keys)
-        found = []
-        for k in np.flatnonzero(np.diff(bounds) > 1):
-            a, b = bounds[k], bounds[k + 1]
-            rest = np.frombuffer(b"".join(rows["rest"].slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
-            found.extend(bucket_edges(nodes[a:b], np.ascontiguousarray(rest)))
-        if found:
-            x = np.array(found, np.int64)
-            x = np.unique(np.sort(x, axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["a", "b"])
-        return None
+def table_keys(sig: np.ndarray) -> np.ndarray:
+    """The BAND**2 keys of each signature: a band of the first collection with one of the second."""
+    band = bands(sig)
+    first, second = band[:, :BAND] * U(0x9E3779B97F4A7C15), band[:, BAND:]
+    number = np.arange(BAND * BAND, dtype=U).reshape(1, BAND, BAND)
+    return mix(first[:, :, None] + second[:, None, :] + (number << U(1))).reshape(len(sig), BAND * BAND)
+
+
+KEYED = "task int, keys binary, nodes binary"
+
+
+def _keyed(tasks: int):
+    """(node, sig) -> the keys of many nodes and the nodes, packed by the task that a key selects."""
+
+    def sent(nodes: list[np.ndarray], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = table_keys(np.concatenate(sigs))
+        nodes = np.repeat(np.concatenate(nodes), keys.shape[1])
+        keys = keys.ravel()
+        task = ((keys >> U(32)) % U(tasks)).astype(np.uint16 if tasks <= 65536 else np.int32)
+        order = np.argsort(task, kind="stable")
+        to, bounds = group_bounds(task[order])
+        to, keys, nodes = to.astype(np.int32), keys[order], nodes[order]
+        for a, b in pieces(bounds, HANDED // 8):
+            mine, cuts = slice(bounds[a], bounds[b]), bounds[a : b + 1] - bounds[a]
+            yield pa.RecordBatch.from_arrays([pa.array(to[a:b]), binaries(keys[mine], cuts), binaries(nodes[mine], cuts)], ["task", "keys", "nodes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sigs, size = [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                nodes.append(part.column("node").to_numpy())
+                sigs.append(joined(part.column("sig"), np.uint32).reshape(-1, HASHES))
+                size += part.num_rows
+                if size >= TOGETHER:
+                    yield from sent(nodes, sigs)
+                    nodes, sigs, size = [], [], 0
+        if size:
+            yield from sent(nodes, sigs)
+
+    return run
+
+
+MET = "a bigint, b bigint, bucket bigint, members binary"
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("members", pa.binary())])
+
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over all rows of a task: the pairs of each bucket's least node with its others (a, b), and each
+    distinct bucket of more than two nodes (bucket: a hash of its members)."""
+    held = [(joined(b.column("keys"), U), joined(b.column("nodes"), np.int64)) for b in batches if b.num_rows]
+    if not held:
+        return
+    keys, nodes = (np.concatenate(x) for x in zip(*held))
+    del held
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    once = np.ones(len(keys), bool)
+    once[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[once], nodes[once]
+    _, bounds = group_bounds(keys)
+    size = np.diff(bounds)
+    leader = np.repeat(nodes[bounds[:-1]], size)
+    other = np.ones(len(nodes), bool)
+    other[bounds[:-1]] = False
+    a, b = leader[other], nodes[other]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[new], b[new]
+    none = pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())
+    yield from pa.table([pa.array(a), pa.array(b), *none], schema=_MET).to_batches(max_chunksize=100_000)
+    name = mix(np.add.reduceat(mix(nodes.view(U).copy()), bounds[:-1]) + size.astype(U)).view(np.int64)
+    many = np.flatnonzero(size > 2)
+    _, first = np.unique(name[many], return_index=True)
+    for k in np.array_split(many[first], max(1, len(first) // 1000)):
+        if len(k):
+            members = [nodes[bounds[i] : bounds[i + 1]].tobytes() for i in k]
+            none = pa.nulls(len(k), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(name[k]), pa.array(members, pa.binary())], schema=_MET)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, members) -> (bucket, leader, node)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column("key").to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if keys[0] <= keys[-1] else 0
-        if held and (cut or keys[0] != held[-1].column("key")[-1].as_py()):
-            ready = pa.Table.from_batches([*held, batch.slice(0, cut)])
-            if (out := flush(ready)) is not None:
-                yield out
-            held = [batch.slice(cut)]
-        elif cut:
-            if (out := flush(pa.Table.from_batches([batch.slice(0, cut)]))) is not None:
-                yield out
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
-    if held and (out := flush(pa.Table.from_batches(held))) is not None:
-        yield out
+        for bucket, members in zip(*(c.to_pylist() for c in batch.columns)):
+            nodes = np.frombuffer(members, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), bucket)), pa.array(np.full(len(nodes), nodes[0])), pa.array(nodes)], ["bucket", "leader", "node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,91 +205,118 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-class _Bloom:
-    """Membership of 64-bit names, with about 1 % of false hits at 10 bits a name."""
+def _bloom_bits(names: np.ndarray) -> Iterator[np.ndarray]:
+    h = mix(names.view(U).copy())
+    for k in range(BLOOM_HASHES):
+        yield (((h >> U(9 * k)) ^ (h * U(2 * k + 3))) & U(BLOOM_BITS - 1)).astype(np.int64)
 
-    def __init__(self, count: int):
-        self.bits = 1 << max(10, (10 * count - 1).bit_length())
-        self.field = np.zeros(self.bits // 8, np.uint8)
 
-    def _places(self, names: np.ndarray) -> Iterator[np.ndarray]:
-        h = mix(names.view(U).copy())
-        for k in range(5):
-            yield ((h >> U(9 * k)) ^ (h * U(2 * k + 3))) & U(self.bits - 1)
+def _bloom_filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes -> cuts of the filter that holds them."""
+    field = np.zeros(BLOOM_BITS, bool)
+    for batch in batches:
+        for bits in _bloom_bits(batch.column(0).to_numpy()):
+            field[bits] = True
+    cuts = np.packbits(field).reshape(BLOOM_CUTS, -1)
+    some = np.flatnonzero(cuts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([c.tobytes() for c in cuts[some]], pa.binary())], ["cut", "bits"])
 
-    def add(self, names: np.ndarray) -> None:
-        for p in self._places(names):
-            np.bitwise_or.at(self.field, (p >> U(3)).astype(np.int64), np.left_shift(1, (p & U(7)).astype(np.uint8), dtype=np.uint8))
 
-    def hits(self, names: np.ndarray) -> np.ndarray:
-        out = np.ones(len(names), bool)
-        for p in self._places(names):
-            out &= (self.field[(p >> U(3)).astype(np.int64)] >> (p & U(7)).astype(np.uint8)) & 1 > 0
-        return out
+def _bloom_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for cut, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            mine = found.setdefault(cut, np.zeros(len(bits), np.uint8))
+            mine |= np.frombuffer(bits, np.uint8)
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["cut", "bits"])
+
+
+def bloom_of(nodes: DataFrame) -> np.ndarray:
+    """The filter's bytes (BLOOM_BITS / 8, whatever the number of nodes), filled and merged by tasks."""
+    filled = nodes.mapInArrow(_bloom_filled, "cut int, bits binary").repartitionById(BLOOM_CUTS, F.col("cut"))
+    field = np.zeros((BLOOM_CUTS, BLOOM_BITS // 8 // BLOOM_CUTS), np.uint8)
+    for r in filled.mapInArrow(_bloom_merged, "cut int, bits binary").collect():
+        field[r.cut] = np.frombuffer(r.bits, np.uint8)
+    return field.ravel()
+
+
+def _bloom_hits(field: np.ndarray, names: np.ndarray) -> np.ndarray:
+    out = np.ones(len(names), bool)
+    for bits in _bloom_bits(names):
+        out &= (field[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1 > 0
+    return out
 
 
 def _shingled(bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, values, bounds, name in _sets(batches, 0):
-            sets = binaries(values, bounds)
-            hit = np.arange(len(name)) if bloom is None else np.flatnonzero(bloom.value.hits(name))
+        for _, values, bounds, name in _sets(batches, 0):
+            hit = np.flatnonzero(_bloom_hits(bloom.value, name))
             _, first = np.unique(name[hit], return_index=True)
             hit = hit[first]
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(name[hit]), sets.take(pa.array(hit))], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[hit]), binaries(values, bounds).take(pa.array(hit))], ["node", "shingles"])
 
     return run
 
 
-def verified_groups(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The least node of each node's group: groups are what pairs that meet in a table and whose
-    Jaccard similarity is at least ``similarity`` connect. Pairs already connected are passed over."""
-    root = np.arange(len(nodes))
+def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Jaccard similarity of sets of 32-bit numbers (ascending, as binaries), pair by pair."""
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def keyed(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        sizes = pa.compute.binary_length(sets).to_numpy().astype(np.int64) // 4
+        return np.repeat(np.arange(len(sizes), dtype=U) << U(32), sizes) | joined(sets, np.uint32).astype(U), sizes
 
-    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-    sig = signatures(np.concatenate(sets), bounds)
-    band = bands(sig)
-    sketch = sig.astype(np.uint16)
-    failed: set[tuple[int, int]] = set()
-    for i in range(BAND):
-        order = np.argsort(band[:, i], kind="stable")
-        _, cuts = group_bounds(band[order, i])
-        for k in np.flatnonzero(np.diff(cuts) > 1):
-            members = order[cuts[k] : cuts[k + 1]]
-            roots = np.array([find(m) for m in members])
-            if len(np.unique(roots)) == 1:
-                continue
-            for n, x in enumerate(members[:-1]):
-                rest = members[n + 1 :]
-                rest = rest[np.array([find(m) for m in rest]) != find(x)]
-                rest = rest[(band[rest][:, BAND:] == band[x, BAND:]).any(1)]
-                rest = rest[(sketch[rest] == sketch[x]).mean(1) >= LEAST_AGREEMENT]
-                for y in rest:
-                    if find(x) == find(y) or (x, y) in failed:
-                        continue
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if both >= similarity * (len(sets[x]) + len(sets[y]) - both):
-                        a, b = find(x), find(y)
-                        root[max(a, b)] = min(a, b)
-                    else:
-                        failed.add((x, y))
-    return nodes[np.array([find(i) for i in range(len(nodes))])]
-
-
-def _groups(similarity: float):
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        sets = [np.frombuffer(s, np.uint32) for s in group["shingles"].to_pylist()]
-        nodes = group["node"].to_numpy()
-        return pa.table({"node": nodes, "group": verified_groups(nodes, sets, similarity)})
+    (x, n), (y, m) = keyed(a), keyed(b)
+    at = np.searchsorted(x, y)
+    same = x[np.minimum(at, max(len(x) - 1, 0))] == y if len(x) else np.zeros(len(y), bool)
+    both = np.bincount((y[same] >> U(32)).astype(np.int64), minlength=len(n))
+    return both / np.maximum(n + m - both, 1)
 
-    return run
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j in slices(batch.column("set_b")):
+            part = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similarities(part.column("set_a"), part.column("set_b")))], ["a", "b", "similarity"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs of nodes, one by one: each pair's sets meet in a task of their own."""
+    mine = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    both = mine.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(_compared, "a bigint, b bigint, similarity double")
+
+
+def verified_groups(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): what pairs that meet in a table (MET) and are at least so similar connect, for
+    nodes that any such pair has.
+
+    First, each bucket's least node is compared with its others, and what is similar is connected.
+    Then, in buckets whose members aren't all connected, the remaining pairs of different components
+    are compared, but for those whose distances from the least node differ by more than
+    1 - ``similarity``: as Jaccard's distance is a metric, they can't be similar. So every pair of a
+    bucket is compared, connected otherwise, or known to be dissimilar.
+    """
+    checked = written(compared(met.where("bucket IS NULL").select("a", "b").distinct(), sets), "checked")
+    roots = written(components(checked.where(F.col("similarity") >= similarity).select("a", "b")), "roots")
+    members = met.where("bucket IS NOT NULL").select("bucket", "members").dropDuplicates(["bucket"]).mapInArrow(_members, "bucket bigint, leader bigint, node bigint")
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = placed.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("bucket")
+    known = checked.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity")
+    open_ = written(placed.join(apart, "bucket", "left_semi").join(known, ["leader", "node"], "left").select("bucket", "node", "root", F.coalesce("similarity", F.lit(1.0)).alias("near")), "open")
+    x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "near"))) for k in "ab")
+    cross = x.join(y, "bucket").where(F.expr(f"node_a < node_b AND root_a <> root_b AND abs(near_a - near_b) <= {1 - similarity + 1e-9}"))
+    cross = cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    cross = written(cross, "cross")
+    if cross.isEmpty():
+        return roots
+    similar = compared(cross.select("a", "b"), sets).where(F.col("similarity") >= similarity).select("a", "b")
+    links = similar.join(cross, ["a", "b"]).select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+    joined_ = written(components(links).select(F.col("node").alias("root"), F.col("root").alias("_root")), "roots")
+    # nodes that were alone until now are roots of their own
+    alone = joined_.select(F.col("root").alias("node"), "root").join(roots, "node", "left_anti")
+    return roots.unionByName(alone).join(joined_, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -291,22 +329,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     copies. A node is a distinct set of shingles: copies of a text are one node from the start."""
     docs = _rows(pick(docs, "doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "_row")
     spark = docs.sparkSession
-    parts = parts_for(docs, 8 << 20)
+    tasks = parts_for(docs, shares(spark)[0])
     signed = written(docs.mapInArrow(_signed, "doc_id bigint, row bigint, node bigint, sig binary"), "signatures")
     nodes = signed.groupBy("node").agg(F.first("sig").alias("sig"))
-    keyed = nodes.mapInArrow(_keyed, "key bigint, node bigint, rest binary").repartition(parts, "key").sortWithinPartitions("key", "node")
-    roots = written(components(keyed.mapInArrow(_edges, "a bigint, b bigint")), "roots")
-    count = roots.count()
-    bloom = None
-    if 20 * count <= 8 * BLOOM_BYTES:
-        filled = _Bloom(max(count, 1))
-        for batch in roots.select("node").toArrow().to_batches():
-            filled.add(batch.column(0).to_numpy())
-        bloom = spark.sparkContext.broadcast(filled)
-    sets = docs.select("text").mapInArrow(_shingled(bloom), "node bigint, shingles binary")
-    placed = sets.join(roots, "node").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("root").alias("root"))
-    groups = placed.groupBy("root").applyInArrow(_groups(similarity), "node bigint, group bigint")
-    return signed.select("doc_id", "row", "node"), groups
+    met = written(nodes.mapInArrow(_keyed(tasks), KEYED).repartitionById(tasks, F.col("task")).select("keys", "nodes").mapInArrow(_met, MET), "met")
+    pairs = met.where("bucket IS NULL")
+    bloom = spark.sparkContext.broadcast(bloom_of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))))
+    sets = docs.select("text").mapInArrow(_shingled(bloom), "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    groups = verified_groups(met, written(sets, "sets"), similarity)
+    return signed.select("doc_id", "row", "node"), groups.withColumnRenamed("root", "group")
 
 
 def decisions(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -324,18 +355,19 @@ def decisions(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Near copies and what stays for them: doc_id, keep_id.
 
-    Texts are compared as sets of word pairs without case and punctuation. Candidates meet in one
-    of BAND**2 tables, whose keys pair bands of two small collections of min-hashes; only the first
-    collection's bands are shuffled, and the second's are compared where they meet. Candidates are
-    verified by the exact Jaccard similarity of their shingle sets. Groups are connected by verified
-    pairs, and the least doc_id of each stays (nulls last): every other row of the group is listed
-    with it. Copies of any number are one node, and connected nodes aren't compared again, so a
-    group of n copies costs about n comparisons; no partner or candidate is left out.
-
-    Null texts and texts without words are never copies. A null doc_id is listed as null. Rows that
-    are repeated (same doc_id and text) are copies: each but one is listed, with its own doc_id as
-    keep_id if it is the one that stays. An empty table gives an empty result; other columns are
-    ignored.
+    Texts are compared as sets of word pairs without case and punctuation. Candidates meet in one of
+    BAND**2 tables, whose keys each combine a band of one small collection of min-hashes with a band of
+    another. Candidates are verified by the exact Jaccard similarity of their sets, pair by pair, and
+    only verified pairs are connected: texts that share a template but aren't similar never meet in
+    one task. The least doc_id of each group stays (nulls last, ties by a hash of the row): every
+    other row of the group is listed with it. Copies with the same set are one node, and of n near
+    copies about n pairs are compared. All pairs of a table are compared, connected already, or
+    excluded by the triangle inequality; none is left out (``verified_groups``).
+
+    Null texts and texts without words are never copies; very long texts are compared whole. A null
+    doc_id is listed as null. Rows that are repeated (same doc_id and text) are copies: each but one
+    is listed, with its own doc_id as keep_id if it is the one that stays. An empty table gives an
+    empty result; other columns are ignored.
     """
     listed = decisions(docs, similarity).where("NOT stays OR rows > 1")
     return listed.select("doc_id", "keep_id", F.explode(F.expr("array_repeat(0, cast(rows - if(stays, 1, 0) as int))"))).select("doc_id", "keep_id")
@@ -343,15 +375,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that ``near_duplicates`` lists: one row of each group stays, and
-    every row without near copies. Columns other than those of ``documents`` are dropped."""
+    every row without near copies (null and empty texts among them). Of repeated rows one stays.
+    Columns other than those of ``documents`` are dropped; an empty table stays empty."""
     docs = documents_like(docs)
     decided = written(decisions(docs, similarity).select("row", "rows", "stays"), "decided")
     rows = _rows(docs)
-    # hashed, so that the texts aren't sorted: the decisions are small beside them, at any scale
-    plain = rows.join(decided.where("NOT stays").hint("shuffle_hash"), F.col("_row") == F.col("row"), "left_anti")
+    same = F.col("_row") == F.col("row")
+    # by one plan at every size, whose sort can spill
+    plain = rows.join(decided.where("NOT stays").hint("merge"), same, "left_anti")
     again = decided.where("stays AND rows > 1")
     if not again.isEmpty():
-        same = F.col("_row") == F.col("row")
         once = plain.join(again, same, "left_semi").dropDuplicates(["_row"])
         plain = plain.join(again, same, "left_anti").unionByName(once)
     return plain.drop("_row")

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from emberlog.llm import neardup
-from emberlog.llm.neardup import SIMILARITY, bucket_edges, components, drop_near_duplicates, near_duplicates, shingles
+from emberlog.llm.neardup import SIMILARITY, components, drop_near_duplicates, near_duplicates, shingles, similarities, table_keys, verified_groups
 
 
 def brute(rows):
@@ -58,13 +58,78 @@ def test_recall_and_precision_against_all_pairs(table_of):
     assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
-def test_with_and_without_the_filter(table_of, monkeypatch):
+def test_a_full_filter_finds_the_same(table_of, monkeypatch):
     rows = copies(3)
     got = sorted(map(tuple, near_duplicates(table_of(rows)).collect()))
-    monkeypatch.setattr(neardup, "BLOOM_BYTES", 0)
+    monkeypatch.setattr(neardup, "bloom_of", lambda nodes: np.full(neardup.BLOOM_BITS // 8, 255, np.uint8))
     assert sorted(map(tuple, near_duplicates(table_of(rows)).collect())) == got
 
 
+def test_the_filter_has_all_its_nodes(spark):
+    nodes = np.random.default_rng(1).integers(-(2**63), 2**63, 20_000)
+    field = neardup.bloom_of(spark.createDataFrame([(int(n),) for n in nodes[:10_000]], "node bigint"))
+    hits = neardup._bloom_hits(field, nodes)
+    assert hits[:10_000].all() and hits[10_000:].mean() < 0.01
+
+
+def test_texts_of_one_template_stay_apart(table_of):
+    """600 documents that share a template, similar by 0.43: candidates of each other, but no copies."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        rows.append((i, " ".join(f"t{k}" for k in range(60)) + " " + " ".join("".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(40))))
+    assert near_duplicates(table_of(rows)).collect() == []
+    values, b = shingles(pa.array([t for _, t in rows[:2]]))
+    both = len(np.intersect1d(values[: b[1]], values[b[1] :]))
+    assert 0.4 < both / (len(values) - both) < 0.46
+
+
+def test_similarities():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 50, n).astype(np.uint32)) for n in (1, 5, 30, 60, 5, 1)]
+    pairs = [(a, b) for a in sets for b in sets]
+    found = similarities(*(pa.array([p[k].tobytes() for p in pairs], pa.binary()) for k in (0, 1)))
+    assert np.allclose(found, [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in pairs])
+
+
+def test_keys_combine_the_bands_of_two_collections():
+    sig = np.random.default_rng(4).integers(0, 2**32, (6, neardup.HASHES), dtype=np.uint32)
+    half = neardup.BAND * neardup.WIDTH
+    sig[1, : neardup.WIDTH] = sig[0, : neardup.WIDTH]  # a band of the first collection only
+    sig[2, half : half + neardup.WIDTH] = sig[0, half : half + neardup.WIDTH]  # of the second only
+    sig[3, : neardup.WIDTH], sig[3, -neardup.WIDTH :] = sig[0, : neardup.WIDTH], sig[0, -neardup.WIDTH :]  # of both
+    keys = table_keys(sig)
+    assert keys.shape == (6, 100) and len(np.unique(keys)) == 599 and (keys[0] == keys[3]).sum() == 1
+
+
+def test_all_pairs_of_buckets_count(spark):
+    """Groups are what any similar pair of a bucket connects, also of members that the least node is not similar to."""
+    rng = np.random.default_rng(6)
+    for _ in range(4):
+        base = [rng.choice(400, 40, replace=False) for _ in range(5)]
+        sets = []
+        for _ in range(40):
+            x = base[rng.integers(5)].copy()
+            at = rng.choice(40, rng.integers(0, 14), replace=False)
+            x[at] = rng.integers(400, 800, len(at))
+            sets.append(np.unique(x).astype(np.uint32))
+        buckets = {tuple(sorted(rng.choice(40, rng.integers(2, 20), replace=False).tolist())) for _ in range(6)}
+        rows = [(min(b), m, None, None) for b in buckets for m in b if m != min(b)]
+        rows += [(None, None, k, np.array(b, np.int64).tobytes()) for k, b in enumerate(buckets) if len(b) > 2]
+        met = spark.createDataFrame(rows, neardup.MET)
+        table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "node bigint, shingles binary")
+        root = list(range(40))
+        for _ in range(40):
+            for b in buckets:
+                for x in b:
+                    for y in b:
+                        both = len(np.intersect1d(sets[x], sets[y]))
+                        if both >= SIMILARITY * (len(sets[x]) + len(sets[y]) - both):
+                            root[x] = root[y] = min(root[x], root[y])
+        want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+        assert {r.node: r.root for r in verified_groups(met, table, SIMILARITY).collect() if want.get(r.node) is not None or r.node != r.root} == want
+
+
 def test_many_copies_that_differ(table_of):
     rng = random.Random(5)
     base = [f"w{k}" for k in range(200)]
@@ -97,22 +162,3 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert found == root
-
-
-def test_buckets_connect_what_their_pairs_connect():
-    rng = np.random.default_rng(2)
-    for _ in range(50):
-        n = int(rng.integers(2, 9))
-        second = rng.integers(0, 4, (n, neardup.BAND)).astype(np.uint32) + np.arange(neardup.BAND, dtype=np.uint32) * 100
-        sketch = rng.integers(0, 2, (n, neardup.HASHES)).astype(np.uint8)
-        rest = np.concatenate((second.view(np.uint8), sketch), axis=1)
-        pairs = {(a, b) for a in range(n) for b in range(a + 1, n) if (second[a] == second[b]).any() and (sketch[a] == sketch[b]).mean() >= neardup.LEAST_AGREEMENT}
-
-        def joined(edges):
-            root = list(range(n))
-            for _ in range(n):
-                for a, b in edges:
-                    root[a] = root[b] = min(root[a], root[b])
-            return root
-
-        assert joined([*bucket_edges(np.arange(n), rest)]) == joined(pairs)
