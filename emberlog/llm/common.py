@@ -48,11 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions of about ``bytes_each`` of the plan's estimated size, at least the session's
-    shuffle partitions: grows in proportion to the input. Where the plan has no estimate (rows that
-    aren't read from files, joins), the texts' bytes are summed."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def parts_for(df: DataFrame, bytes_each: int, projected: bool = False) -> int:
+    """Partitions of about ``bytes_each`` of the files that are scanned (with ``projected``, of the plan's
+    estimate for its columns), at least the session's shuffle partitions: grows in proportion to the
+    input. Where the plan has no estimate (rows that aren't read from files), the texts' bytes are summed."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [plan] if projected else [leaves.apply(i) for i in range(leaves.size())]
+    size = sum(int(str(x.stats().sizeInBytes())) for x in sizes)
     if size > UNKNOWN_BYTES:
         texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
         size = df.agg(F.sum(sum(texts, F.lit(8))).alias("n")).first().n or 0

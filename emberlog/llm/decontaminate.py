@@ -184,9 +184,9 @@ def _changed(slots: dict[int, tuple[str, str]], size: int) -> int | None:
     return sum(a != b for a, b in known.items())
 
 
-def _best(found: list[dict], typed: int, plain: int, literals: int) -> tuple[int, int, int] | None:
+def _best(found: list[dict], typed: int, plain: int, literals: int, least: int = LITERALS) -> tuple[int, int, int] | None:
     """(covered, item_tokens, slots_changed) of the best alignment by which an item leaked: by
-    windows with LITERALS literals alone if there is one, else by all windows."""
+    windows with ``least`` literals alone if there is one, else by all windows."""
     strict, loose = [], []
     for x in found:
         channel, size = x["channel"], (typed, plain)[x["channel"]]
@@ -196,7 +196,7 @@ def _best(found: list[dict], typed: int, plain: int, literals: int) -> tuple[int
         for pos, n in ((y["_pos"], y["n"]) for y in x["spans"]):
             span = range(pos, pos + n)
             tokens.update(span)
-            if sum(p not in slots for p in span) >= min(LITERALS, n - 1):
+            if sum(p not in slots for p in span) >= min(least, n - 1):
                 rich.update(span)
         pairs = {v for p, v in slots.items() if p in rich}
         if enough(len(rich)) and _one_to_one(pairs):
@@ -211,7 +211,7 @@ def _best(found: list[dict], typed: int, plain: int, literals: int) -> tuple[int
         for tokens, slots in _joined([x for x in loose if x[0] == channel], size):
             n, changed = len(tokens), _changed(slots, size)
             # too few literals are no evidence, unless the item has no more
-            if changed is not None and (n >= COVERED or 2 * n >= size) and (channel or n - len(slots) >= max(1, min(LITERALS, literals))):
+            if changed is not None and (n >= COVERED or 2 * n >= size) and (channel or n - len(slots) >= max(1, min(least, literals))):
                 ranked.append((n / size, channel, n, -changed, size))
     if ranked:
         _, _, n, changed, size = max(ranked)
@@ -243,14 +243,17 @@ def _joined(found: list[tuple], size: int) -> Iterator[tuple[set[int], dict[int,
 LEAKS = "doc_id bigint, row bigint, item_id bigint, covered int, item_tokens int, slots_changed int"
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = batch.to_pylist()
-        best = [_best(r["found"], r["typed"], r["plain"], r["literals"]) for r in rows]
-        kept = [(r["key"], r["row"], r["item_id"], *b) for r, b in zip(rows, best) if b]
-        columns = list(zip(*kept)) if kept else [[]] * 6
-        types = [pa.int64()] * 3 + [pa.int32()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "row", "item_id", "covered", "item_tokens", "slots_changed"])
+def _judged(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            best = [_best(r["found"], r["typed"], r["plain"], r["literals"], least) for r in rows]
+            kept = [(r["key"], r["row"], r["item_id"], *b) for r, b in zip(rows, best) if b]
+            columns = list(zip(*kept)) if kept else [[]] * 6
+            types = [pa.int64()] * 3 + [pa.int32()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "row", "item_id", "covered", "item_tokens", "slots_changed"])
+
+    return run
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
@@ -258,7 +261,7 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
     return df.select("key", F.xxhash64("key", "text").alias("row"), "text")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, least: int = LITERALS, filtered_by: int = FILTERED) -> DataFrame:
     """Documents that hold an item of ``benchmark``, re-parameterised or not:
     doc_id, row, item_id, covered, item_tokens, slots_changed.
 
@@ -272,26 +275,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slot, also across punctuation: where the item begins or ends with a slot, words of the document
     around it don't count, if no alignment is found with them.
 
-    Template windows with LITERALS words at least that are no slots decide first, as in the SQL. An
-    item that isn't found by them is looked for by all windows, of which an alignment must cover
-    LITERALS literals (or all of an item that has fewer); alignments of near offsets, as words put in
-    or left out of a copy make them, count together there. The SQL doesn't list these leaks.
-
-    Items of fewer than WINDOW tokens are one window; those of fewer than SHORTEST are never
-    found. Null texts match nothing; null doc_ids and item_ids stay null. Rows that are repeated
-    are found once; copies of an item under several ids are each found. Empty tables give an
-    empty result; other columns are ignored. The hashes of the items' windows filter the documents' if they are
-    FILTERED at most; beyond that, all windows take part in a shuffled join.
+    Template windows with ``least`` (LITERALS) words at least that are no slots decide first, as in the
+    SQL. An item that isn't found by them is looked for by all windows, of which an alignment must cover
+    ``least`` literals (or all of an item that has fewer): fewer are no evidence. Alignments of near
+    offsets, as words put in or left out of a copy make them, count together there. The SQL doesn't list
+    these leaks.
+
+    Items of fewer than WINDOW tokens are one window. Items of fewer than ``shortest`` (SHORTEST) tokens
+    are not looked for, as a few common words are in many clean documents; the shortest item of the
+    given benchmarks has 14. With ``shortest=1`` none is left out. The hashes of the items' windows
+    filter the documents' if they are ``filtered_by`` (FILTERED: 8 MB) at most; beyond that, all windows
+    take part in a shuffled join, with the same result.
+
+    Null and empty texts match nothing; very long texts are compared whole; null doc_ids and item_ids
+    stay null. Rows that are repeated are found once; copies of an item under several ids are each
+    found. Of an item's alignments the one that covers the largest share counts, then the one by plain
+    words, the longer and the one with fewer slots changed. Empty tables give an empty result; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     items, texts = _keyed(benchmark, "item_id").distinct(), _keyed(docs, "doc_id")
     sizes = items.mapInArrow(_lengths, "key bigint, row bigint, typed int, plain int, literals int")
-    lengths = list(range(SHORTEST, WINDOW + 1))
+    lengths = list(range(shortest, WINDOW + 1))
     wanted = written(items.mapInArrow(_hits(lengths, None, True), HITS), "item-windows")
     # lengths that no item has need no windows
     lengths = sorted(r.n for r in wanted.select("n").distinct().collect())
     filtered = None
-    if wanted.count() <= FILTERED:
+    if wanted.count() <= filtered_by:
         hashes = [b.column(0).to_numpy() for b in wanted.select("hash").distinct().toArrow().to_batches()]
         filtered = spark.sparkContext.broadcast(np.sort(np.concatenate([*hashes, np.zeros(0, np.int64)]).view(U)))
     found = texts.mapInArrow(_hits(lengths, filtered, False), HITS)
@@ -303,12 +313,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     whole = aligned.groupBy("key", "row", "item_id", "_item").agg(F.collect_list(F.struct("channel", "offset", "spans", "pairs")).alias("found"))
     s = sizes.select(F.col("row").alias("_item"), "typed", "plain", "literals").distinct()
-    return whole.join(s, "_item").select("key", "row", "item_id", "typed", "plain", "literals", "found").mapInArrow(_judged, LEAKS)
+    return whole.join(s, "_item").select("key", "row", "item_id", "typed", "plain", "literals", "found").mapInArrow(_judged(least), LEAKS)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item of ``benchmark``. Columns other than those
-    of ``documents`` are dropped; documents with a null text stay."""
+    of ``documents`` are dropped; documents with a null or empty text stay; of repeated rows all stay or
+    none; an empty table stays empty."""
     docs = documents_like(docs)
     gone = written(leaks(docs, benchmark).select("row").distinct(), "leaks")
     same = F.xxhash64(F.col("doc_id").cast("bigint"), "text") == F.col("row")

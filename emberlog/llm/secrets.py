@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import random
 import re
 import string
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_like, pick, table
+from ..storage import Folder
+from .common import documents_like, pick, shared_dir, table
 
 #: Characters before the candidate, of it and after it that the network sees at once. Longer
 #: candidates are seen in steps of SPAN, and the highest score counts.
@@ -141,18 +145,16 @@ class CharCNN:
         g["conv"], g["bias"] = np.zeros_like(self.p["conv"]), np.zeros_like(self.p["bias"])
         g["emb"] = np.zeros_like(self.p["emb"])
         depth = self.p["emb"].shape[1] + 1
+        kernels = self.p["conv"].T.reshape(self.filters, self.width, depth)[:, :, :-1]
         for half in (0, 1):
             part = down[:, half * self.filters : (half + 1) * self.filters]
-            rows = (np.arange(n)[:, None] * steps + at[half]).ravel()
-            f = np.tile(np.arange(self.filters), n)
-            v = part.ravel()
-            picked = cols[rows] * v[:, None]
-            for k in range(self.filters):
-                g["conv"][:, k] += picked[f == k].sum(0)
+            picked = cols[np.arange(n)[:, None] * steps + at[half]]
+            g["conv"] += np.einsum("nfd,nf->df", picked, part, optimize=True)
             g["bias"] += part.sum(0)
-            back = (self.p["conv"].T[f] * v[:, None]).reshape(-1, self.width, depth)[:, :, :-1]
-            place = at[half].ravel()[:, None] + np.arange(self.width)
-            np.add.at(g["emb"], codes[np.repeat(np.arange(n), self.filters)[:, None], place], back)
+            back = (kernels[None] * part[:, :, None, None]).reshape(-1, depth - 1)
+            seen = codes[np.arange(n)[:, None, None], at[half][:, :, None] + np.arange(self.width)].ravel()
+            for k in range(depth - 1):
+                g["emb"][:, k] += np.bincount(seen, back[:, k], CODES)
         return g
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 5) -> CharCNN:
@@ -171,10 +173,11 @@ class CharCNN:
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
         return self
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> CharCNN:
+    def calibrate(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, recall: float = RECALL) -> CharCNN:
         """Platt's scaling by Newton steps (with his smoothed targets), then the largest threshold
-        that keeps ``recall`` of the calibration findings."""
-        z = self.logits(x).astype(np.float64)
+        that keeps ``recall`` of the calibration findings. What is scaled is what scans use: the
+        largest logit of a finding's windows."""
+        z = highest(self.logits(x).astype(np.float64), owner)
         up, down = y.sum(), (1 - y).sum()
         target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
         a, b = 1.0, 0.0
@@ -192,8 +195,25 @@ class CharCNN:
         self.threshold = float(min(0.5, known[int((1 - recall) * len(known))]))
         return self
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.a * self.logits(x).astype(np.float64) + self.b)))
+    def scores(self, x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The calibrated probability of each candidate; ``owner``: of which candidate a window is, ascending from 0."""
+        return 1 / (1 + np.exp(-(self.a * highest(self.logits(x).astype(np.float64), owner) + self.b)))
+
+    def to_json(self) -> dict:
+        arrays = {k: [str(v.dtype), list(v.shape), base64.b64encode(v.tobytes()).decode()] for k, v in self.p.items()}
+        return {"width": self.width, "filters": self.filters, "a": self.a, "b": self.b, "threshold": self.threshold, "p": arrays}
+
+    @classmethod
+    def from_json(cls, found: dict) -> CharCNN:
+        model = cls(width=found["width"], filters=found["filters"])
+        model.p = {k: np.frombuffer(base64.b64decode(data), kind).reshape(shape) for k, (kind, shape, data) in found["p"].items()}
+        model.a, model.b, model.threshold = found["a"], found["b"], found["threshold"]
+        return model
+
+
+def highest(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The largest of each owner's values."""
+    return np.maximum.reduceat(values, np.flatnonzero(np.diff(owner, prepend=-1))) if len(values) else values
 
 
 # -- labelled findings ------------------------------------------------------------------------
@@ -287,15 +307,33 @@ def labelled_findings(count: int, seed: int) -> list[tuple[str, str, str, int]]:
     return found
 
 
-def featurised(findings: list[tuple[str, str, str, int]]) -> tuple[np.ndarray, np.ndarray]:
-    x = [windows(b + v + a, len(b), len(b) + min(len(v), SPAN))[0] for b, v, a, _ in findings]
-    return np.stack(x), np.array([f[3] for f in findings], np.float32)
+def featurised(findings: list[tuple[str, str, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of whole candidates, the finding that each is of, and the findings' labels."""
+    x = [windows(b + v + a, len(b), len(b) + len(v)) for b, v, a, _ in findings]
+    return np.concatenate(x), np.repeat(np.arange(len(x)), [len(w) for w in x]), np.array([f[3] for f in findings], np.float32)
 
 
 @lru_cache(2)
 def trained(seed: int = 11) -> CharCNN:
     """The network, trained and calibrated on labelled findings; always the same for a seed."""
-    return CharCNN().fit(*featurised(labelled_findings(TRAINED, seed))).calibrate(*featurised(labelled_findings(CALIBRATED, seed + 1)))
+    x, owner, y = featurised(labelled_findings(TRAINED, seed))
+    return CharCNN().fit(x, y[owner]).calibrate(*featurised(labelled_findings(CALIBRATED, seed + 1)))
+
+
+_kept: dict[str, CharCNN] = {}
+
+
+def kept_model(spark: SparkSession) -> CharCNN:
+    """``trained()``, kept in the shared folder: later sessions read it, unless this file has changed."""
+    name = f"secret-model-{hashlib.sha256(Path(__file__).read_bytes()).hexdigest()[:16]}.json"
+    if name not in _kept:
+        folder = Folder(spark, shared_dir(spark))
+        if name in folder.names():
+            _kept[name] = CharCNN.from_json(folder.read_json(name))
+        else:
+            _kept[name] = trained()
+            folder.write_json(_kept[name].to_json(), name)  # another session may have written the same
+    return _kept[name]
 
 
 # -- scans ------------------------------------------------------------------------------------
@@ -308,11 +346,8 @@ def _found(texts: list[str | None], model: CharCNN) -> list[list[tuple[int, int,
     for k in range(0, len(spans), 512):
         part = spans[k : k + 512]
         seen = [windows(texts[i], a, b) for i, a, b in part]
-        scores = model.scores(np.concatenate(seen))
-        at = 0
-        for (i, a, b), rows in zip(part, seen):
-            score = float(scores[at : at + len(rows)].max())
-            at += len(rows)
+        scores = model.scores(np.concatenate(seen), np.repeat(np.arange(len(seen)), [len(w) for w in seen]))
+        for (i, a, b), score in zip(part, scores.tolist()):
             if score >= model.threshold:
                 out[i].append((a, b, score))
     return out
@@ -336,13 +371,15 @@ def find_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
 
     Candidates are all long runs with digits or mixed case, all values (of 6 characters at least)
     assigned to a credential's name and all passwords in 'user:password@host', anywhere in a text. The network scores each with its surroundings, and those
-    above the recall-constrained threshold are findings. It is trained on the driver from TRAINED
-    labelled findings and sent to the executors (about 20 KB). Null and empty texts have no
-    findings; null doc_ids stay null; repeated rows are each scanned; an empty table gives an empty
-    result. Other columns are ignored.
+    above the recall-constrained threshold are findings; a long candidate has the highest score of
+    its windows, for which the probability is calibrated. It is trained on the driver from TRAINED
+    labelled findings, kept in the shared folder and sent to the executors (about 20 KB). Null and
+    empty texts have no findings; very long texts and candidates are scanned whole; candidates that
+    overlap are one; a score equal to the threshold is a finding; null doc_ids stay null; repeated
+    rows are each scanned; an empty table gives an empty result. Other columns are ignored.
     """
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInArrow(_scanned(model or trained()), "doc_id bigint, start_char bigint, end_char bigint, score double")
+    return docs.mapInArrow(_scanned(model or kept_model(docs.sparkSession)), "doc_id bigint, start_char bigint, end_char bigint, score double")
 
 
 def redact(text: str, spans: list[tuple[int, int, float]]) -> str:
@@ -373,7 +410,7 @@ def redact_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
     """``docs`` with every finding of ``find_secrets`` replaced by REDACTED, and ``n_chars`` of the
     changed texts. All documents stay; columns other than those of ``documents`` are dropped."""
     docs = documents_like(docs).select(F.col("doc_id").cast("bigint"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"))
-    return docs.mapInArrow(_redacted(model or trained()), "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return docs.mapInArrow(_redacted(model or kept_model(docs.sparkSession)), "doc_id bigint, text string, lang string, source string, n_chars bigint")
 
 
 def op3_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

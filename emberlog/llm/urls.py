@@ -137,7 +137,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     RULE_SCHEMA. Other columns are ignored.
     """
     pages = pick(pages, "page_id", "url").select(F.col("page_id").cast("bigint").alias("page_id"), "url").withColumn("key", canonical_key(F.col("url")))
-    spark, parts = pages.sparkSession, parts_for(pages, PART_BYTES)
+    spark, parts = pages.sparkSession, parts_for(pages, PART_BYTES, projected=True)
     keyed = pages.where("key is not null").withColumn("key", F.col("key").cast("binary"))
     size = int(str(keyed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     share = min(1.0, parts * SAMPLED * 100 / max(size, 1))

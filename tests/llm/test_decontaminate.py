@@ -11,8 +11,8 @@ def bench(spark, rows):
     return spark.createDataFrame(rows, "item_id bigint, text string, Text string, row int")
 
 
-def found(docs, items):
-    return sorted(((r.doc_id, r.item_id, r.slots_changed > 0) for r in leaks(docs, items).collect()), key=repr)
+def found(docs, items, **given):
+    return sorted(((r.doc_id, r.item_id, r.slots_changed > 0) for r in leaks(docs, items, **given).collect()), key=repr)
 
 
 def test_slots(spark, table_of):
@@ -36,12 +36,18 @@ def test_slots(spark, table_of):
     assert sorted(r.doc_id for r in drop_leaks(docs, items).collect()) == [3, 4, 6, 8, 9, 10]
 
 
-def test_all_windows_joined_when_the_benchmark_is_large(spark, table_of, monkeypatch):
+def test_all_windows_joined_when_the_benchmark_is_large(spark, table_of):
     items = bench(spark, [(1, ITEM, "x", 1), (2, PLAIN, "x", 1)])
     docs = table_of([(1, ITEM), (2, "nothing to see in here at all but words"), (3, "so " + PLAIN)])
     want = found(docs, items)
-    monkeypatch.setattr(decontaminate, "FILTERED", 0)
-    assert found(docs, items) == want == [(1, 1, False), (3, 2, False)]
+    assert found(docs, items, filtered_by=0) == want == [(1, 1, False), (3, 2, False)]
+
+
+def test_short_items_and_few_literals_are_parameters(spark, table_of):
+    items = bench(spark, [(1, "too short", "x", 1), (2, "Between 3 miles and 4 miles Ann ran 5 miles", "x", 1)])
+    docs = table_of([(1, "it is too short to say"), (2, "between 7 km and 8 km Bob ran 9 km"), (3, "nothing of it")])
+    assert found(docs, items) == [(2, 2, True)]
+    assert found(docs, items, shortest=1, least=1) == [(1, 1, False), (2, 2, True)]
 
 
 def test_odd_tables(spark, odd, empty):

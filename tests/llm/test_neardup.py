@@ -105,7 +105,7 @@ def test_keys_combine_the_bands_of_two_collections():
 def test_all_pairs_of_buckets_count(spark):
     """Groups are what any similar pair of a bucket connects, also of members that the least node is not similar to."""
     rng = np.random.default_rng(6)
-    for _ in range(4):
+    for _ in range(2):
         base = [rng.choice(400, 40, replace=False) for _ in range(5)]
         sets = []
         for _ in range(40):

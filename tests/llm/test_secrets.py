@@ -7,8 +7,8 @@ from emberlog.llm.secrets import RECALL, REDACTED, CharCNN, candidates, featuris
 
 def test_held_out_accuracy():
     model = trained()
-    x, y = featurised(labelled_findings(1500, 99))
-    scores = model.scores(x)
+    x, owner, y = featurised(labelled_findings(1500, 99))
+    scores = model.scores(x, owner)
     found = scores >= model.threshold
     assert found[y > 0].mean() >= 0.98 and y[found].mean() >= 0.95
     bins = np.minimum((scores * 5).astype(int), 4)
@@ -17,15 +17,16 @@ def test_held_out_accuracy():
 
 
 def test_threshold_keeps_the_recall():
-    x, y = featurised(labelled_findings(1500, 12))
+    x, owner, y = featurised(labelled_findings(1500, 12))
     model = trained()
-    assert (model.scores(x)[y > 0] >= model.threshold).mean() >= RECALL
+    assert (model.scores(x, owner)[y > 0] >= model.threshold).mean() >= RECALL
 
 
 def test_gradients():
     model = CharCNN(seed=1, size=3, width=3, filters=4)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    x, y = featurised(labelled_findings(6, 3))
+    x, owner, y = featurised(labelled_findings(6, 3))
+    y = y[owner]
     loss = lambda: float(np.mean(np.log1p(np.exp(-(2 * y - 1) * model._forward(x)[-1]))))
     g = model._gradients(x, y)
     rng = np.random.default_rng(0)
