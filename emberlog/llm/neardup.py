@@ -91,7 +91,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, values, bounds, name in _sets(batches, 1):
         sig = signatures(values, bounds)
         cut = np.arange(len(sig) + 1) * HASHES
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(name), binaries(sig.ravel(), cut)], ["doc_id", "row", "node", "sig"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(name), binaries(sig.ravel(), cut), binaries(values, bounds)], ["doc_id", "row", "node", "sig", "shingles"])
 
 
 def table_keys(sig: np.ndarray) -> np.ndarray:
@@ -248,14 +248,12 @@ def _bloom_hits(field: np.ndarray, names: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shingled(bloom):
+def _hit(bloom):
+    """(node, shingles) of nodes in the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, values, bounds, name in _sets(batches, 0):
-            hit = np.flatnonzero(_bloom_hits(bloom.value, name))
-            _, first = np.unique(name[hit], return_index=True)
-            hit = hit[first]
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(name[hit]), binaries(values, bounds).take(pa.array(hit))], ["node", "shingles"])
+        for batch in batches:
+            yield batch.filter(pa.array(_bloom_hits(bloom.value, batch.column("node").to_numpy())))
 
     return run
 
@@ -282,9 +280,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs of nodes, one by one: each pair's sets meet in a task of their own."""
-    mine = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = mine.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    """(a, b, similarity) of pairs of nodes, one by one, however many share a node. Sets are merged, by
+    the same plan at every size."""
+    mine = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
+    both = mine.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_compared, "a bigint, b bigint, similarity double")
 
 
@@ -330,12 +329,13 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     docs = _rows(pick(docs, "doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "_row")
     spark = docs.sparkSession
     tasks = parts_for(docs, shares(spark)[0])
-    signed = written(docs.mapInArrow(_signed, "doc_id bigint, row bigint, node bigint, sig binary"), "signatures")
+    # the sets are written beside the signatures: reading them again costs less than cutting the texts again
+    signed = written(docs.mapInArrow(_signed, "doc_id bigint, row bigint, node bigint, sig binary, shingles binary"), "signatures")
     nodes = signed.groupBy("node").agg(F.first("sig").alias("sig"))
     met = written(nodes.mapInArrow(_keyed(tasks), KEYED).repartitionById(tasks, F.col("task")).select("keys", "nodes").mapInArrow(_met, MET), "met")
     pairs = met.where("bucket IS NULL")
     bloom = spark.sparkContext.broadcast(bloom_of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))))
-    sets = docs.select("text").mapInArrow(_shingled(bloom), "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = signed.select("node", "shingles").mapInArrow(_hit(bloom), "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     groups = verified_groups(met, written(sets, "sets"), similarity)
     return signed.select("doc_id", "row", "node"), groups.withColumnRenamed("root", "group")
 
