@@ -1,4 +1,4 @@
-"""Drains a Kafka topic into a store, as the environment says, and prints a report.
+"""Drains a Kafka topic into a store until it is idle, as the environment says, and prints a report.
 
     python -m emberlog STORE CHECKPOINT
 """
@@ -22,8 +22,8 @@ def main(args: list[str]) -> int:
     config = PipelineConfig.from_env()
     spark = SparkSession.builder.appName("emberlog").getOrCreate()
     try:
-        topic = KafkaTopic(config.brokers, config.topic, config.batch_size * config.partitions)
-        store, stats = run_pipeline(spark, topic, args[0], args[1], config, router="sip13")
+        topic = KafkaTopic(config.brokers, config.topic, config.rows_per_trigger(), config.threads, config.poll_ms)
+        store, stats = run_pipeline(spark, topic, args[0], args[1], config, router="sip13", until_idle=True)
     except LogError as e:
         print(f"failed: {e}", file=sys.stderr)
         return 1

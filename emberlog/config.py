@@ -22,6 +22,11 @@ def env_int(env: Mapping[str, str], default: int, *names: str) -> int:
 
 @dataclass(frozen=True)
 class PipelineConfig:
+    """``threads``: tasks that read at the same time, at least; ``trigger_rows``: rows of a micro-batch at
+    most, which is at least ``batch_size`` for each of them (a micro-batch costs several jobs and a commit,
+    so it should be large); ``poll_ms``: longest wait for a poll, and time between micro-batches where the
+    pipeline runs until the topic is idle for ``idle_ms``."""
+
     brokers: str = "localhost:9092"
     topic: str = "ember-logs"
     partitions: int = 4
@@ -29,6 +34,7 @@ class PipelineConfig:
     group: str = "ember-pipeline"
     threads: int = 4
     batch_size: int = 256
+    trigger_rows: int = 1_000_000
     poll_ms: int = 200
     idle_ms: int = 5_000
 
@@ -44,10 +50,14 @@ class PipelineConfig:
             group=env.get("EMBERLOG_CONSUMER_GROUP", cls.group),
             threads=max(1, env_int(env, partitions, "EMBERLOG_CONSUMER_THREADS")),
             batch_size=max(1, env_int(env, cls.batch_size, "EMBERLOG_CONSUMER_BATCH_SIZE")),
+            trigger_rows=max(1, env_int(env, cls.trigger_rows, "EMBERLOG_TRIGGER_ROWS")),
             poll_ms=max(1, env_int(env, cls.poll_ms, "EMBERLOG_CONSUMER_POLL_MS")),
             idle_ms=max(1, env_int(env, cls.idle_ms, "EMBERLOG_CONSUMER_IDLE_MS")),
         )
 
+    def rows_per_trigger(self) -> int:
+        return max(self.trigger_rows, self.batch_size * self.threads)
+
 
 def split_capacity(total: int, shards: int) -> list[int]:
     """``total`` in ``shards`` parts that differ by 1 at most, the larger ones first."""

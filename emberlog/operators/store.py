@@ -20,11 +20,13 @@ from ..functions.routing import ROUTERS, Md5Router, SipRouter
 from ..plans import lookup
 from ..schema import ARRIVALS_SCHEMA, LOG_COLUMNS
 from ..storage import Folder
+from . import offsets as offsets_
 from .offsets import live, local_offsets, postings
 
 MIN, MAX = -(1 << 63), (1 << 63) - 1
-#: Commits after which ``ingest`` compacts the store by itself.
-COMMITS = 256
+#: Commits of one level that ``ingest`` merges into one of the next: a row is written again a number of
+#: times that grows with the logarithm of the commits, and their number stays as small.
+MERGED = 16
 
 
 class Offsets:
@@ -99,6 +101,16 @@ def _arrivals(folder: Folder, commits: tuple[str, ...]) -> DataFrame:
     return read.parquet(*(folder.path("arrivals", f"commit={c}") for c in commits)).drop("commit")
 
 
+def _level(commit: str) -> int:
+    return int(commit.partition("-")[0])
+
+
+def _laid(rows: DataFrame) -> DataFrame:
+    """Rows as they are written: a shard's chunks of offsets are each a task's work and a file, sorted by host and time."""
+    chunk = F.expr(f"local_offset div {offsets_.CHUNK}")
+    return rows.select(*(f.name for f in ARRIVALS_SCHEMA)).repartition("shard", chunk).sortWithinPartitions("shard", "host_id", "timestamp")
+
+
 class LogStore:
     def __init__(self, spark: SparkSession, root: str):
         """Opens the store at ``root``."""
@@ -191,22 +203,32 @@ class LogStore:
         batches = version.batches | ({stream: batch} if stream is not None else {})
         if total or stream is not None or offsets:
             self._commit(replace(version, number=version.number + 1, shards=shards, commits=commits, offsets=merged, batches=batches))
-        if len(commits) > COMMITS:
-            self.compact()
+        self._merge()
         return total
 
-    def _written(self, rows: DataFrame) -> str:
-        name = uuid.uuid4().hex
-        columns = [f.name for f in ARRIVALS_SCHEMA]
-        laid = rows.select(*columns).repartition("shard").sortWithinPartitions("shard", "host_id", "timestamp")
-        laid.write.partitionBy("shard").parquet(self.folder.path("arrivals", f"commit={name}"))
+    def _written(self, rows: DataFrame, level: int = 0) -> str:
+        name = f"{level}-{uuid.uuid4().hex}"
+        _laid(rows).write.partitionBy("shard").parquet(self.folder.path("arrivals", f"commit={name}"))
         return name
 
+    def _merge(self) -> None:
+        """Merges the newest MERGED commits, while they have one level, into one of the next."""
+        version = self.version()
+        levels = [_level(c) for c in version.commits]
+        keep, level = len(levels), 0
+        while levels[keep - MERGED : keep].count(level) == MERGED:
+            keep, level = keep - MERGED + 1, level + 1
+            levels[keep - 1 :] = [level]
+        if level:
+            newest = replace(version, commits=version.commits[keep - 1 :])
+            self._commit(replace(version, number=version.number + 1, commits=(*version.commits[: keep - 1], self._written(self._live(newest), level))))
+
     def compact(self) -> None:
         """Rewrites what is live as one commit. Files of earlier versions stay until ``vacuum``."""
         version = self.version()
         if version.commits:
-            self._commit(replace(version, number=version.number + 1, commits=(self._written(self._live(version)),)))
+            level = max(map(_level, version.commits))
+            self._commit(replace(version, number=version.number + 1, commits=(self._written(self._live(version), level),)))
 
     def vacuum(self) -> None:
         """Deletes versions and files that the newest version doesn't need. No reader may use them."""
@@ -231,6 +253,11 @@ class LogStore:
         """All rows that are retained, at one version."""
         return self._live(self.version())
 
+    def pinned(self) -> tuple[Version, DataFrame]:
+        """A version, and what is retained at it."""
+        version = self.version()
+        return version, self._live(version)
+
     def shard_for_host(self, host: str) -> Shard:
         version = self.version()
         return version.shards[self._router(version).shard(host, len(version.shards))]
@@ -305,10 +332,9 @@ class LogStore:
         by a new version there; readers see the old or the new one whole."""
         version = self.version()
         target = Folder(self.spark, path)
-        name = uuid.uuid4().hex
+        name = f"0-{uuid.uuid4().hex}"
         if version.commits:
-            laid = self._live(version).repartition("shard").sortWithinPartitions("shard", "host_id", "timestamp")
-            laid.write.partitionBy("shard").parquet(target.path("arrivals", f"commit={name}"))
+            _laid(self._live(version)).write.partitionBy("shard").parquet(target.path("arrivals", f"commit={name}"))
         found = replace(version, commits=(name,) if version.commits else (), offsets=offsets or version.offsets)
         while True:
             taken = [int(n[:12]) for n in target.names("versions") if not n.startswith(".")]

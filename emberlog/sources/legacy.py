@@ -1,7 +1,7 @@
-"""Import of binary snapshots of earlier stores, in both of their layouts.
+"""Binary snapshots of earlier stores: import from both of their layouts, export in the newer one.
 
-Little-endian: eight bytes that name the format (letters and a version, 04 or 05), shards with
-their entries, then source offsets. Bytes after the end are ignored.
+Little-endian: eight bytes that name the format (six letters, which the caller gives, and a version, 04 or
+05), shards with their entries, then source offsets. Bytes after the end are ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from ..config import split_capacity
 from ..errors import SnapshotError
 from ..operators.store import LogStore, Offsets, Shard, Version
 from ..schema import ARRIVALS_SCHEMA
+from ..storage import Folder
 
 
 class _Reader:
@@ -37,11 +38,11 @@ class _Reader:
             raise SnapshotError("a text of the snapshot isn't UTF-8") from e
 
 
-def parsed(data: bytes) -> tuple[list[Shard], list[tuple], Offsets]:
-    """Shards, rows of ARRIVALS_SCHEMA, and offsets."""
+def parsed(data: bytes, name: bytes) -> tuple[list[Shard], list[tuple], Offsets]:
+    """Shards, rows of ARRIVALS_SCHEMA, and offsets. ``name``: the format's letters, exactly."""
     r = _Reader(data)
     magic = r.take(8)
-    if not (magic[:6].isalpha() and magic[:6].isupper()) or magic[6:] not in (b"04", b"05"):
+    if magic not in (name + b"04", name + b"05"):
         raise SnapshotError("these bytes don't begin like a snapshot")
     total = r.number("Q") if magic[6:] == b"04" else None
     count = r.number("I")
@@ -67,9 +68,39 @@ def parsed(data: bytes) -> tuple[list[Shard], list[tuple], Offsets]:
     return shards, rows, offsets
 
 
-def import_snapshot(spark: SparkSession, data: bytes, root: str, router: str = "sip13") -> tuple[LogStore, Offsets]:
+def import_snapshot(spark: SparkSession, data: bytes, root: str, name: bytes, router: str = "sip13") -> tuple[LogStore, Offsets]:
     """A store at ``root`` with the state of a binary snapshot: one machine's memory at most, so it
     is read on the driver."""
-    shards, rows, offsets = parsed(data)
+    shards, rows, offsets = parsed(data, name)
     version = Version(0, router, tuple(sorted(shards, key=lambda s: s.shard)), offsets=offsets)
     return LogStore.restored(spark, root, version, spark.createDataFrame(rows, ARRIVALS_SCHEMA) if rows else None), offsets
+
+
+def _text(value: str) -> bytes:
+    data = value.encode()
+    return struct.pack("<I", len(data)) + data
+
+
+def exported(store: LogStore, name: bytes, offsets: Offsets | None = None, layout: bytes = b"05") -> bytes:
+    """A store's live rows, shards and offsets as a binary snapshot, for earlier stores (``layout`` 04
+    has one capacity for all shards together). It is put together on the driver, partition by
+    partition of the sorted rows: the format is one file that one machine's memory holds."""
+    version, rows = store.pinned()
+    entries: dict[int, list[bytes]] = {s.shard: [] for s in version.shards}
+    for r in rows.orderBy("shard", "local_offset").toLocalIterator():
+        entries[r.shard].append(struct.pack("<q", r.timestamp) + _text(r.service_name) + _text(r.host_id) + _text(r.message))
+    old = layout == b"04"
+    out = [name + layout, struct.pack("<Q", sum(s.capacity for s in version.shards)) if old else b"", struct.pack("<I", len(version.shards))]
+    for s in version.shards:
+        capacity = b"" if old else struct.pack("<Q", s.capacity)
+        out += [struct.pack("<I", s.shard), capacity, struct.pack("<QQ", s.next_offset, len(entries[s.shard])), *entries[s.shard]]
+    topics = (offsets or version.offsets).inner()
+    out.append(struct.pack("<I", len(topics)))
+    for topic, partitions in topics.items():
+        out += [_text(topic), struct.pack("<I", len(partitions)), *(struct.pack("<IQ", p, o) for p, o in sorted(partitions.items()))]
+    return b"".join(out)
+
+
+def export_snapshot(store: LogStore, path: str, name: bytes, offsets: Offsets | None = None) -> None:
+    """Writes ``exported`` to a file, whole or not at all; a file that is there is replaced."""
+    Folder(store.spark, path.rpartition("/")[0]).write_bytes(exported(store, name, offsets), path.rpartition("/")[2])

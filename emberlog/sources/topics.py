@@ -10,12 +10,11 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.readwriter import DataStreamReader
 
 from ..errors import SourceUnavailable
 from ..functions.records import encoded
 from ..functions.routing import ROUTERS, Md5Router, SipRouter
-from ..operators.offsets import local_offsets
+from ..operators.offsets import by_shard, local_offsets
 from ..operators.store import Offsets
 from ..schema import TOPIC_SCHEMA
 
@@ -37,8 +36,16 @@ def messages(rows: DataFrame, partitions: int, router: Md5Router | SipRouter = R
 class KafkaTopic:
     """Needs Spark's Kafka connector (spark-sql-kafka-0-10) on the class path."""
 
-    def __init__(self, brokers: str, name: str, rows_per_trigger: int | None = None):
-        self.brokers, self.name, self.rows_per_trigger = brokers, name, rows_per_trigger
+    def __init__(self, brokers: str, name: str, rows_per_trigger: int | None = None, tasks: int | None = None, poll_ms: int | None = None):
+        """``tasks``: a micro-batch is read by so many at least, also of fewer partitions."""
+        self.brokers, self.name, self.rows_per_trigger, self.tasks, self.poll_ms = brokers, name, rows_per_trigger, tasks, poll_ms
+
+    def options(self, starting: Offsets | None = None) -> dict[str, str]:
+        """Options of the source: from the earliest offsets, or from those given."""
+        first = json.dumps(starting.starting()) if starting and starting.inner().get(self.name) else "earliest"
+        found = {"kafka.bootstrap.servers": self.brokers, "subscribe": self.name, "startingOffsets": first}
+        given = {"maxOffsetsPerTrigger": self.rows_per_trigger, "minPartitions": self.tasks, "kafkaConsumer.pollTimeoutMs": self.poll_ms}
+        return found | {k: str(v) for k, v in given.items() if v}
 
     def _found(self, spark: SparkSession) -> None:
         loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
@@ -50,11 +57,7 @@ class KafkaTopic:
     def stream(self, spark: SparkSession, starting: Offsets | None = None) -> DataFrame:
         """From the earliest offsets, or from those given; a checkpoint takes precedence over both."""
         self._found(spark)
-        first = json.dumps(starting.starting()) if starting and starting.inner().get(self.name) else "earliest"
-        reader: DataStreamReader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", self.brokers).option("subscribe", self.name)
-        if self.rows_per_trigger:
-            reader = reader.option("maxOffsetsPerTrigger", self.rows_per_trigger)
-        return reader.option("startingOffsets", first).load().select("key", "value", "topic", "partition", "offset")
+        return spark.readStream.format("kafka").options(**self.options(starting)).load().select("key", "value", "topic", "partition", "offset")
 
     def send(self, rows: DataFrame, partitions: int, router: Md5Router | SipRouter = ROUTERS["md5"]) -> None:
         self._found(rows.sparkSession)
@@ -89,10 +92,7 @@ class FileTopic:
         if self.files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", self.files_per_trigger)
         rows = reader.parquet(self.path)
-        skipped = F.lit(False)
-        for partition, offset in (starting.inner().get(self.name, {}) if starting else {}).items():
-            skipped |= (F.col("partition") == partition) & (F.col("offset") < offset)
-        return rows.where(~skipped)
+        return rows.where(F.col("offset") >= by_shard(starting.inner().get(self.name, {}) if starting else {}, 0, "partition"))
 
     def ends(self, spark: SparkSession) -> dict[int, int]:
         try:
@@ -109,4 +109,5 @@ class FileTopic:
         value = numbered.select(
             F.col("host_id").cast("binary").alias("key"), encoded().cast("binary").alias("value"), F.lit(self.name).alias("topic"), F.col("shard").alias("partition"), F.col("local_offset").alias("offset")
         )
-        value.coalesce(1).write.mode("append").parquet(self.path)
+        # a partition is one sequence of messages, so it is one file of each send, and partitions are written in parallel
+        value.repartition("partition").sortWithinPartitions("partition", "offset").write.mode("append").parquet(self.path)

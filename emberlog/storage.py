@@ -31,15 +31,28 @@ class Folder:
         finally:
             stream.close()
 
-    def write_json(self, value: dict, *names: str) -> bool:
-        """All or nothing: a file of another name is written and then renamed. False if the name is taken."""
-        target, part = self._Path(self.path(*names)), self._Path(self.path(*names[:-1], f".{names[-1]}.{uuid.uuid4().hex}"))
+    def _part(self, data: bytes, names: tuple[str, ...]):
+        part = self._Path(self.path(*names[:-1], f".{names[-1]}.{uuid.uuid4().hex}"))
         stream = self.fs.create(part)
         try:
-            stream.write(json.dumps(value, sort_keys=True).encode())
+            stream.write(data)
             stream.hsync()
         finally:
             stream.close()
+        return part
+
+    def write_bytes(self, data: bytes, *names: str) -> None:
+        """A whole file, written under another name and then renamed over what is there."""
+        target, part = self._Path(self.path(*names)), self._part(data, names)
+        if not self.fs.rename(part, target):
+            # file systems that don't rename over a file
+            self.fs.delete(target, False)
+            if not self.fs.rename(part, target):
+                raise OSError(f"can't write {target}")
+
+    def write_json(self, value: dict, *names: str) -> bool:
+        """All or nothing: a file of another name is written and then renamed. False if the name is taken."""
+        target, part = self._Path(self.path(*names)), self._part(json.dumps(value, sort_keys=True).encode(), names)
         if self.fs.exists(target) or not self.fs.rename(part, target):
             self.fs.delete(part, False)
             return False

@@ -43,8 +43,6 @@ def apply_batch(store: LogStore, batch: DataFrame, number: int, stream: str, top
     if version.batches.get(stream, -1) >= number:
         return 0
     found = ROUTERS[version.router].routed(decoded(batch).withColumn("host_id", F.col("record.host_id")), len(version.shards))
-    if version.router != "md5" and len(version.shards) > 1:  # hosts are joined back: rows without one went
-        found = found.unionByName(decoded(batch).where("reason IS NOT NULL").selectExpr("*", "cast(null AS string) AS host_id", "cast(null AS int) AS shard"))
     found = found.persist()  # decoded once; what an executor loses is decoded again
     try:
         return _checked(store, found, number, stream, topic, rejected)
@@ -76,11 +74,14 @@ def _checked(store: LogStore, found: DataFrame, number: int, stream: str, topic:
     return store.ingest(records, ("offset",), offsets, stream, number, counts)
 
 
-def run_pipeline(spark: SparkSession, topic: Topic, root: str, checkpoint: str, config: PipelineConfig, router: str = "md5", rejected: str | None = None) -> tuple[LogStore, PipelineStats]:
+def run_pipeline(
+    spark: SparkSession, topic: Topic, root: str, checkpoint: str, config: PipelineConfig, router: str = "md5", rejected: str | None = None, until_idle: bool = False
+) -> tuple[LogStore, PipelineStats]:
     """Drains ``topic`` into the store at ``root`` (made if there is none) and stops.
 
-    The stream resumes from its checkpoint; without one, from the offsets that the store holds, as
-    after a restore.
+    By default it stops when it has applied what was there at its start. With ``until_idle`` it polls
+    every ``config.poll_ms`` and stops when nothing has come for ``config.idle_ms``. The stream
+    resumes from its checkpoint; without one, from the offsets that the store holds, as after a restore.
     """
     from ..errors import LogError
 
@@ -89,19 +90,25 @@ def run_pipeline(spark: SparkSession, topic: Topic, root: str, checkpoint: str,
     except LogError:
         store = LogStore.with_shards(spark, root, config.capacity, config.partitions, router)
     begun, stream = time.monotonic(), f"{config.group}:{topic.name}:{checkpoint}"
-    consumed = 0
+    consumed, busy = 0, begun
     failed: list[Exception] = []
 
     def one(batch: DataFrame, number: int) -> None:
-        nonlocal consumed
+        nonlocal consumed, busy
         try:
             consumed += apply_batch(store, batch, number, stream, topic.name, rejected)
+            busy = time.monotonic()
         except (DecodeError, RoutingError) as e:
             failed.append(e)
             raise
 
-    query = topic.stream(spark, store.offsets()).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = topic.stream(spark, store.offsets()).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(processingTime=f"{config.poll_ms} milliseconds") if until_idle else writer.trigger(availableNow=True)).start()
     try:
+        while until_idle and not query.awaitTermination(config.poll_ms / 1000):
+            busy = max(busy, time.monotonic()) if query.status["isDataAvailable"] else busy
+            if not query.status["isTriggerActive"] and time.monotonic() - busy > config.idle_ms / 1000:
+                query.stop()
         query.awaitTermination()
     except Exception:
         if failed:

@@ -9,7 +9,7 @@ from emberlog.errors import DecodeError, RoutingError, SnapshotError, SourceUnav
 from emberlog.functions.routing import ROUTERS
 from emberlog.operators.store import LogStore
 from emberlog.schema import TOPIC_SCHEMA
-from emberlog.sources.legacy import import_snapshot, parsed
+from emberlog.sources.legacy import export_snapshot, exported, import_snapshot, parsed
 from emberlog.sources.topics import FileTopic, KafkaTopic, ensure_topic, messages
 from emberlog.streaming.ingest import apply_batch, run_pipeline
 
@@ -101,6 +101,31 @@ def test_messages_and_missing_connectors(spark):
         ensure_topic("localhost:9092", "logs", 1)
 
 
+def test_until_idle(spark, tmp_path, topic):
+    """The stream waits for more, and stops when nothing comes."""
+    import threading
+    import time
+
+    topic.send(log(spark, 0, 10), 2)
+    late = threading.Timer(2, lambda: topic.send(log(spark, 10, 14), 2))
+    late.start()
+    begun = time.monotonic()
+    config = PipelineConfig(partitions=2, capacity=100, poll_ms=100, idle_ms=6000)
+    store, stats = run_pipeline(spark, topic, f"file://{tmp_path}/store", f"file://{tmp_path}/c", config, until_idle=True)
+    late.join()
+    assert stats.consumed == 14 == store.len() and time.monotonic() - begun > 6
+
+
+def test_options_of_the_source():
+    from emberlog.operators.store import Offsets
+
+    found = KafkaTopic("b:1", "logs", 500, 8, 200).options()
+    assert found == {"kafka.bootstrap.servers": "b:1", "subscribe": "logs", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "500", "minPartitions": "8", "kafkaConsumer.pollTimeoutMs": "200"}
+    held = Offsets({"logs": {0: 7, 1: 0}})
+    assert KafkaTopic("b:1", "logs").options(held)["startingOffsets"] == '{"logs": {"0": 7, "1": 0}}'
+    assert KafkaTopic("b:1", "other").options(held)["startingOffsets"] == "earliest"
+
+
 def text(s):
     return struct.pack("<I", len(s.encode())) + s.encode()
 
@@ -120,10 +145,25 @@ def test_legacy_snapshots(spark, tmp_path):
     shards = [(0, 3, [(1, "a", by[0]), (2, "b", by[0])]), (1, 2, [(-5, "a", by[1])])]
     for version, capacities in ((b"05", [5, 5]), (b"04", [3, 2])):
         data = binary(version, shards, 5) + b"trailing"
-        store, offsets = import_snapshot(spark, data, f"file://{tmp_path}/store{version.decode()}")
+        store, offsets = import_snapshot(spark, data, f"file://{tmp_path}/store{version.decode()}", b"FORMAT")
         assert [s.capacity for s in store.version().shards] == capacities and store.len() == 3
         assert [r.timestamp for r in store.get(0, 2).collect()] == [2] and offsets.get("logs", 1) == 38901
         assert [r.timestamp for r in store.query_by_service("a").collect()] == [-5, 1]
     for broken in (b"", b"nothing!", binary(b"05", shards, 5)[:-3], binary(b"05", [], 5), binary(b"05", [(0, 0, [(1, "a", "h")])], 5)):
         with pytest.raises(SnapshotError):
-            parsed(broken)
+            parsed(broken, b"FORMAT")
+    with pytest.raises(SnapshotError):
+        parsed(binary(b"05", shards, 5), b"FORMAL")
+
+
+def test_export_of_binary_snapshots(spark, tmp_path):
+    by = {k: next(h for h in (f"h{i}" for i in range(99)) if ROUTERS["sip13"].shard(h, 2) == k) for k in (0, 1)}
+    shards = [(0, 3, [(1, "a", by[0]), (2, "b", by[0])]), (1, 2, [(-5, "a", by[1])])]
+    for version in (b"05", b"04"):
+        data = binary(version, shards, 6)
+        store, _ = import_snapshot(spark, data, f"file://{tmp_path}/from{version.decode()}", b"FORMAT")
+        assert exported(store, b"FORMAT", layout=version) == data
+    path = f"file://{tmp_path}/out.snap"
+    for _ in range(2):  # the second replaces the first
+        export_snapshot(store, path, b"FORMAT")
+    assert (tmp_path / "out.snap").read_bytes() == exported(store, b"FORMAT")
