@@ -30,7 +30,11 @@ HASHES = 2 * BAND * WIDTH
 TOGETHER, HANDED = 20_000, 2 << 20
 #: Bits of the Bloom filter of candidates, at any size of the corpus: with few candidates it keeps
 #: nearly all other sets out of the shuffle, with very many it lets them pass.
-BLOOM_BITS, BLOOM_HASHES, BLOOM_CUTS = 1 << 25, 4, 64
+BLOOM_BITS, BLOOM_HASHES = 1 << 25, 4
+#: Counters of how often shingles occur in open buckets, at any size: they only say what order to look in.
+COUNTERS = 1 << 20
+#: Pieces in which tables of tasks are merged.
+CUTS = 16
 
 _RNG = np.random.Generator(np.random.PCG64(20))
 _MULTIPLY = _RNG.integers(0, 2**31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -178,11 +182,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, members) -> (bucket, leader, node)."""
+    """(bucket, members) -> (bucket, node)."""
     for batch in batches:
         for bucket, members in zip(*(c.to_pylist() for c in batch.columns)):
             nodes = np.frombuffer(members, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), bucket)), pa.array(np.full(len(nodes), nodes[0])), pa.array(nodes)], ["bucket", "leader", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), bucket)), pa.array(nodes)], ["bucket", "node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,34 +215,42 @@ def _bloom_bits(names: np.ndarray) -> Iterator[np.ndarray]:
         yield (((h >> U(9 * k)) ^ (h * U(2 * k + 3))) & U(BLOOM_BITS - 1)).astype(np.int64)
 
 
+def _merged(filled: DataFrame, kind: type, size: int, add: np.ufunc) -> np.ndarray:
+    """One array of tasks' arrays (rows of cut, data), merged by ``add`` in CUTS pieces: what reaches the
+    driver is one array, whatever the number of tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for cut, data in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = found.setdefault(cut, np.zeros(len(data) // np.dtype(kind).itemsize, kind))
+                add(mine, np.frombuffer(data, kind), out=mine)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["cut", "data"])
+
+    out = np.zeros((CUTS, size // CUTS), kind)
+    for r in filled.repartitionById(CUTS, F.col("cut")).mapInArrow(run, "cut int, data binary").collect():
+        out[r.cut] = np.frombuffer(r.data, kind)
+    return out.ravel()
+
+
+def _cut(values: np.ndarray) -> pa.RecordBatch:
+    cuts = values.reshape(CUTS, -1)
+    some = np.flatnonzero(cuts.any(1))
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([c.tobytes() for c in cuts[some]], pa.binary())], ["cut", "data"])
+
+
 def _bloom_filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes -> cuts of the filter that holds them."""
     field = np.zeros(BLOOM_BITS, bool)
     for batch in batches:
         for bits in _bloom_bits(batch.column(0).to_numpy()):
             field[bits] = True
-    cuts = np.packbits(field).reshape(BLOOM_CUTS, -1)
-    some = np.flatnonzero(cuts.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([c.tobytes() for c in cuts[some]], pa.binary())], ["cut", "bits"])
-
-
-def _bloom_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for cut, bits in zip(*(c.to_pylist() for c in batch.columns)):
-            mine = found.setdefault(cut, np.zeros(len(bits), np.uint8))
-            mine |= np.frombuffer(bits, np.uint8)
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["cut", "bits"])
+    yield _cut(np.packbits(field))
 
 
 def bloom_of(nodes: DataFrame) -> np.ndarray:
     """The filter's bytes (BLOOM_BITS / 8, whatever the number of nodes), filled and merged by tasks."""
-    filled = nodes.mapInArrow(_bloom_filled, "cut int, bits binary").repartitionById(BLOOM_CUTS, F.col("cut"))
-    field = np.zeros((BLOOM_CUTS, BLOOM_BITS // 8 // BLOOM_CUTS), np.uint8)
-    for r in filled.mapInArrow(_bloom_merged, "cut int, bits binary").collect():
-        field[r.cut] = np.frombuffer(r.bits, np.uint8)
-    return field.ravel()
+    return _merged(nodes.mapInArrow(_bloom_filled, "cut int, data binary"), np.uint8, BLOOM_BITS // 8, np.bitwise_or)
 
 
 def _bloom_hits(field: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -287,35 +299,82 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_compared, "a bigint, b bigint, similarity double")
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles.astype(U)) & U(COUNTERS - 1)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for a, b in slices(batch.column(0)):
+            counts += np.bincount(_counter(joined(batch.column(0).slice(a, b - a), np.uint32)), minlength=COUNTERS)
+    yield _cut(counts)
+
+
+PREFIXES = "shingle bigint, node bigint, root bigint, size int, place int"
+
+
+def _prefixes(counts, similarity: float):
+    """(node, root, shingles) -> the first shingles of each set, in order of their counters: two sets that
+    are similar enough have one of these in common, so common ones need no look."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column("shingles")):
+                part = batch.slice(i, j - i)
+                sizes = pa.compute.binary_length(part.column("shingles")).to_numpy().astype(np.int64) // 4
+                values = joined(part.column("shingles"), np.uint32)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                often = counts.value[_counter(values)]
+                order = np.lexsort((values, often, owner))
+                place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                length = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+                # a counter of 1 is of a shingle that no other set has
+                keep = (place < length[owner]) & (often[order] > 1)
+                k = pa.array(owner[keep])
+                columns = [pa.array(values[order][keep].astype(np.int64)), part.column("node").take(k), part.column("root").take(k), pa.array(sizes[owner[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "node", "root", "size", "place"])
+
+    return run
+
+
+def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, root_a, root_b): all pairs of ``nodes`` (node, root, shingles) of different roots that can be
+    as similar as that. No such pair is left out: in any order of the shingles, two sets of that
+    similarity share one among the first (1 - similarity) of each, and from there on enough are left.
+    Rare shingles come first, so that what many sets share (a passage, a template) yields no pairs."""
+    counts = nodes.sparkSession.sparkContext.broadcast(_merged(nodes.select("shingles").mapInArrow(_counted, "cut int, data binary"), np.int64, COUNTERS, np.add))
+    firsts = nodes.mapInArrow(_prefixes(counts, similarity), PREFIXES)
+    x, y = (firsts.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "size", "place"))) for k in "ab")
+    enough = f"least(size_a - place_a, size_b - place_b) >= {similarity / (1 + similarity)} * (size_a + size_b) - 1e-6"
+    met = x.join(y, "shingle").where(f"node_a < node_b AND root_a <> root_b AND {enough}")
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b").distinct()
+
+
 def verified_groups(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root): what pairs that meet in a table (MET) and are at least so similar connect, for
     nodes that any such pair has.
 
-    First, each bucket's least node is compared with its others, and what is similar is connected.
-    Then, in buckets whose members aren't all connected, the remaining pairs of different components
-    are compared, but for those whose distances from the least node differ by more than
-    1 - ``similarity``: as Jaccard's distance is a metric, they can't be similar. So every pair of a
-    bucket is compared, connected otherwise, or known to be dissimilar.
+    First, each bucket's least node is compared with its others, and what is similar is connected. The
+    members of buckets that aren't connected by then may be similar to each other: for them, an
+    exact join by rare shingles (``prefix_pairs``) finds all pairs of different components that can
+    be, also of different buckets. So every pair of a bucket is compared, connected otherwise, or
+    known to be dissimilar, and texts that share a template don't cost a pair each with each.
     """
     checked = written(compared(met.where("bucket IS NULL").select("a", "b").distinct(), sets), "checked")
     roots = written(components(checked.where(F.col("similarity") >= similarity).select("a", "b")), "roots")
-    members = met.where("bucket IS NOT NULL").select("bucket", "members").dropDuplicates(["bucket"]).mapInArrow(_members, "bucket bigint, leader bigint, node bigint")
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = met.where("bucket IS NOT NULL").select("bucket", "members").dropDuplicates(["bucket"]).mapInArrow(_members, "bucket bigint, node bigint")
+    placed = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     apart = placed.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("bucket")
-    known = checked.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity")
-    open_ = written(placed.join(apart, "bucket", "left_semi").join(known, ["leader", "node"], "left").select("bucket", "node", "root", F.coalesce("similarity", F.lit(1.0)).alias("near")), "open")
-    x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "near"))) for k in "ab")
-    cross = x.join(y, "bucket").where(F.expr(f"node_a < node_b AND root_a <> root_b AND abs(near_a - near_b) <= {1 - similarity + 1e-9}"))
-    cross = cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    cross = written(cross, "cross")
-    if cross.isEmpty():
-        return roots
+    loose = placed.join(apart, "bucket", "left_semi").select("node", "root").distinct()
+    loose = written(loose.join(sets.hint("merge"), "node"), "loose")
+    cross = written(prefix_pairs(loose, similarity).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "cross")
     similar = compared(cross.select("a", "b"), sets).where(F.col("similarity") >= similarity).select("a", "b")
     links = similar.join(cross, ["a", "b"]).select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
-    joined_ = written(components(links).select(F.col("node").alias("root"), F.col("root").alias("_root")), "roots")
+    again = written(components(links).select(F.col("node").alias("root"), F.col("root").alias("_root")), "roots")
     # nodes that were alone until now are roots of their own
-    alone = joined_.select(F.col("root").alias("node"), "root").join(roots, "node", "left_anti")
-    return roots.unionByName(alone).join(joined_, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    alone = again.select(F.col("root").alias("node"), "root").join(roots, "node", "left_anti")
+    return roots.unionByName(alone).join(again, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -361,8 +420,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     only verified pairs are connected: texts that share a template but aren't similar never meet in
     one task. The least doc_id of each group stays (nulls last, ties by a hash of the row): every
     other row of the group is listed with it. Copies with the same set are one node, and of n near
-    copies about n pairs are compared. All pairs of a table are compared, connected already, or
-    excluded by the triangle inequality; none is left out (``verified_groups``).
+    copies about n pairs are compared. All pairs of a table are compared, connected already, or known
+    to be dissimilar; none is left out (``verified_groups``).
 
     Null texts and texts without words are never copies; very long texts are compared whole. A null
     doc_id is listed as null. Rows that are repeated (same doc_id and text) are copies: each but one

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from emberlog.llm import neardup
-from emberlog.llm.neardup import SIMILARITY, components, drop_near_duplicates, near_duplicates, shingles, similarities, table_keys, verified_groups
+from emberlog.llm.neardup import SIMILARITY, components, drop_near_duplicates, near_duplicates, prefix_pairs, shingles, similarities, table_keys, verified_groups
 
 
 def brute(rows):
@@ -84,6 +84,19 @@ def test_texts_of_one_template_stay_apart(table_of):
     assert 0.4 < both / (len(values) - both) < 0.46
 
 
+def test_prefix_pairs_are_all_that_can_be_similar(spark):
+    rng = np.random.default_rng(7)
+    common = rng.choice(1000, 30, replace=False)
+    sets = [np.unique(np.concatenate((common[: rng.integers(0, 31)], rng.integers(0, 60, rng.integers(1, 40))))).astype(np.uint32) for _ in range(60)]
+    # a passage that many have, beside more of their own
+    sets += [np.unique(np.concatenate((common, rng.integers(10**6, 10**9, 30)))).astype(np.uint32) for _ in range(200)]
+    nodes = spark.createDataFrame([(i, i % 50 if i < 60 else i, x.tobytes()) for i, x in enumerate(sets)], "node bigint, root bigint, shingles binary")
+    got = {(r.a, r.b) for r in prefix_pairs(nodes, SIMILARITY).collect()}
+    root = [i % 50 if i < 60 else i for i in range(260)]
+    similar = {(i, j) for j in range(260) for i in range(j) if root[i] != root[j] and len(np.intersect1d(sets[i], sets[j])) >= SIMILARITY * len(np.union1d(sets[i], sets[j]))}
+    assert similar <= got and not any(a >= 60 for a, b in got)
+
+
 def test_similarities():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 50, n).astype(np.uint32)) for n in (1, 5, 30, 60, 5, 1)]
@@ -103,7 +116,7 @@ def test_keys_combine_the_bands_of_two_collections():
 
 
 def test_all_pairs_of_buckets_count(spark):
-    """Groups are what any similar pair of a bucket connects, also of members that the least node is not similar to."""
+    """Any similar pair of a bucket is connected, also members that the least node is not similar to."""
     rng = np.random.default_rng(6)
     for _ in range(2):
         base = [rng.choice(400, 40, replace=False) for _ in range(5)]
@@ -118,16 +131,24 @@ def test_all_pairs_of_buckets_count(spark):
         rows += [(None, None, k, np.array(b, np.int64).tobytes()) for k, b in enumerate(buckets) if len(b) > 2]
         met = spark.createDataFrame(rows, neardup.MET)
         table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "node bigint, shingles binary")
-        root = list(range(40))
-        for _ in range(40):
-            for b in buckets:
-                for x in b:
-                    for y in b:
-                        both = len(np.intersect1d(sets[x], sets[y]))
-                        if both >= SIMILARITY * (len(sets[x]) + len(sets[y]) - both):
-                            root[x] = root[y] = min(root[x], root[y])
-        want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
-        assert {r.node: r.root for r in verified_groups(met, table, SIMILARITY).collect() if want.get(r.node) is not None or r.node != r.root} == want
+        alike = [[len(np.intersect1d(x, y)) >= SIMILARITY * len(np.union1d(x, y)) for y in sets] for x in sets]
+
+        def rooted(groups):
+            root = list(range(40))
+            for _ in range(40):
+                for g in groups:
+                    for x in g:
+                        for y in g:
+                            if alike[x][y]:
+                                root[x] = root[y] = min(root[x], root[y])
+            return root
+
+        least, most = rooted(buckets), rooted([range(40)])
+        found = {r.node: r.root for r in verified_groups(met, table, SIMILARITY).collect()}
+        found = [found.get(i, i) for i in range(40)]
+        # what the pairs of buckets connect, and nothing that similar pairs don't
+        assert all(found[i] == found[j] for i in range(40) for j in range(40) if least[i] == least[j])
+        assert all(most[i] == most[found[i]] and found[i] <= i for i in range(40))
 
 
 def test_many_copies_that_differ(table_of):
