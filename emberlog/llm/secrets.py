@@ -39,11 +39,11 @@ _MIXED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]").search
 
 
 def _is_run(run: str) -> bool:
-    return len(run) >= 16 and (any(c.isdigit() for c in run) or len(run) >= 20 and bool(_MIXED(run)))
+    return len(run) >= 16 and (any(c.isdigit() for c in run) or len(run) >= 20 and (bool(_MIXED(run)) or run.isupper()))
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans, in order and apart, of long runs with digits or mixed case, of values assigned to a
+    """Spans, in order and apart, of long runs with digits, mixed case or capitals only, of values assigned to a
     credential's name (wherever its sign stands, also after other assignments without a space), and
     of passwords in 'user:password@host'."""
     found = []
