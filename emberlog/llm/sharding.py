@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import pick, table
 
 SHARDS = 64
-#: Atomic groups that a source is cut into. Their number doesn't grow with the corpus.
+#: Atomic groups that a source is cut into: their number grows with the sources, not with their documents.
 BUCKETS = 512
 
 
@@ -68,10 +68,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> Data
 
     The atomic groups are ordered by (source, bucket), where a text's hash selects one of
     ``buckets``, so copies of a text stay together. Their sizes (UTF-8 bytes) are summed over all
-    documents in Spark; one task searches over those few sums (at most sources x buckets, whatever
-    the corpus). Null texts count 0 bytes and share a bucket; null sources come first as a group of
-    their own; null doc_ids stay. Repeated rows are each assigned, alike. Fewer groups than shards
-    leave shards empty; an empty table gives an empty result. Other columns are ignored.
+    documents in Spark; one task searches over those sums, at most sources x ``buckets`` of them (about
+    30 bytes each: a million sources with 512 buckets would be 15 GB; give fewer buckets then).
+    Null texts count 0 bytes and share a bucket; empty ones too count 0; a very long text counts
+    whole, and the capacity is at least its group's. Null sources come first as a group of their own;
+    null doc_ids stay. Repeated rows are each assigned, alike. Of several cuts with the least capacity,
+    shards are filled from the first on. Fewer groups than shards leave shards empty; an empty table
+    gives an empty result. Other columns are ignored.
     """
     docs = pick(docs, "doc_id", "text", "source").withColumn("source", F.col("source").cast("string"))
     docs = docs.select("doc_id", "source", F.octet_length("text").alias("_bytes"), _bucket(buckets).alias("bucket"))

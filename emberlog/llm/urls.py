@@ -132,8 +132,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     complete however the sample falls; neither side is broadcast or collected. The innermost
     rule's action decides; of rules with one prefix the one with the largest rule_id is innermost.
     A missing scheme and white space around a URL don't matter (the SQL takes URLs as they are).
-    URLs that are null or have no host have a null key, no rules, and are kept; rules whose
-    pattern is null or has no host cover nothing; repeated rows are each listed. ``rules`` has
+    Percent escapes are compared as they are written, and any port is dropped. Each part is a task of
+    its own; the keys sampled for their bounds (SAMPLED for each part) are all that the driver gets.
+    URLs that are null, empty or have no host have a null key, no rules, and are kept; very long URLs
+    are compared whole; rules whose pattern is null or has no host cover nothing; repeated rows are each
+    listed. Without pages the result is empty; without rules every page is kept. ``rules`` has
     RULE_SCHEMA. Other columns are ignored.
     """
     pages = pick(pages, "page_id", "url").select(F.col("page_id").cast("bigint").alias("page_id"), "url").withColumn("key", canonical_key(F.col("url")))
@@ -148,7 +151,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     marks = prefixes.selectExpr("cast(null AS bigint) AS page_id", "cast(null AS string) AS url", "key", "false AS is_url", "cast(rule_id AS bigint) AS rule_id", "action")
     schema = "part int, page_id bigint, url string, key binary, is_url boolean, rule_id bigint, action string"
     placed = urls.mapInArrow(_placed(cuts, False), schema).unionByName(marks.mapInArrow(_placed(cuts, True), schema))
-    swept = placed.repartition(parts, "part").sortWithinPartitions("part", "key", "is_url", F.asc_nulls_first("rule_id")).mapInArrow(_swept, SWEPT)
+    swept = placed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "is_url", F.asc_nulls_first("rule_id")).mapInArrow(_swept, SWEPT)
     without = pages.where("key is null").selectExpr("page_id", "url", "key", "array() AS rule_ids", "cast(null AS string) AS action")
     without = without.withColumn("rule_ids", F.col("rule_ids").cast("array<bigint>"))
     return swept.unionByName(without).withColumn("kept", ~F.col("action").eqNullSafe("block"))

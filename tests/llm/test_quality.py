@@ -17,6 +17,12 @@ GOOD = "This is a line of prose, and it ends as it should. Another sentence foll
         "a line that goes on and on for very many words without any mark of a sentence at all in it",
         "All rights reserved.",
         "Please accept all cookies.",
+        "Alle Rechte vorbehalten.",
+        "Bitte alle Cookies akzeptieren.",
+        "Tous droits réservés.",
+        "Cliquez ici pour en savoir plus.",
+        "Todos los derechos reservados.",
+        "Haga clic aquí para continuar.",
     ],
 )
 def test_bad_lines_go_and_good_ones_stay(table_of, line):
@@ -24,7 +30,7 @@ def test_bad_lines_go_and_good_ones_stay(table_of, line):
     assert [(r.doc_id, r.text, r.n_chars) for r in found] == [(1, f"{GOOD}\n\n{GOOD}", 2 * len(GOOD) + 2)]
 
 
-@pytest.mark.parametrize("line", ["A short title", "x", "Licensed under the MIT License.", "Wow!! Great news.", "Costs $5, or 10% of it (more or less) & tax.", "他们来了。"])
+@pytest.mark.parametrize("line", ["A short title", "x", "Licensed under the MIT License.", "Wow!! Great news.", "Costs $5, or 10% of it (more or less) & tax.", "他们来了。", "Elle a des droits réservés aux membres.", "Er hat sich vorbehalten zu gehen."])
 def test_plain_lines_stay(table_of, line):
     assert clean_lines(table_of([(1, line)])).first().text == line
 

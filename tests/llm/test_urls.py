@@ -51,7 +51,7 @@ def test_against_all_pairs(spark, monkeypatch):
     assert got(spark, found, rules) == want
     # many parts: rules run over their bounds
     monkeypatch.setattr(urls, "PART_BYTES", 1)
-    monkeypatch.setattr(urls, "parts_for", lambda df, n: 23)
+    monkeypatch.setattr(urls, "parts_for", lambda df, n, projected: 23)
     assert got(spark, found, rules) == want
 
 
