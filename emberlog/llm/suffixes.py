@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import group_bounds, table, written
+from .common import group_bounds, parts_for, pick, table, written
 from .substrings import WINDOW
 from .textarrays import STEP, U, mix
-from .windows import Bundle, repeated_windows
+from .windows import Bundle, repeated_windows, shares
 
 _SUFFIX = U(0xB5C18A6E4F9D2E35)
 RUNS = "run bigint, doc_id bigint, start bigint, chains array<bigint>, lens array<int>"
@@ -236,7 +236,9 @@ def maximal_repeats(docs: DataFrame, words: int = WINDOW) -> DataFrame:
         *(F.first(c).alias(c) for c in ("chains", "lens", "heads")), F.count("*").alias("n"), F.min("left").alias("low"), F.max("left").alias("high"), F.min("run").alias("lister")
     )
     leaves = written(leaves, "leaves")
-    ranked = leaves.drop("lister").groupBy("leader").applyInArrow(_trees(words), PLACED)
+    # sorting a leaf costs far more than its bytes say, so tasks aren't merged by their bytes
+    tasks = parts_for(pick(docs, "doc_id", "text"), shares(docs.sparkSession)[0])
+    ranked = leaves.drop("lister").repartition(tasks, "leader").groupBy("leader").applyInArrow(_trees(words), PLACED)
     ranked = ranked.join(leaves.select("leader", "tail", "lister"), ["leader", "tail"])
     rows = tails.select("leader", "tail", "run", "doc_id", "start").join(ranked, ["leader", "tail"])
     rows = rows.select("doc_id", "start", (F.col("run") == F.col("lister")).alias("lists"), F.explode("places").alias("p"))
