@@ -32,6 +32,7 @@ from .textarrays import STEP, U, mix
 from .windows import Bundle, repeated_windows, shares
 
 _SUFFIX = U(0xB5C18A6E4F9D2E35)
+_BACK = U(pow(int(_SUFFIX), -1, 2**64))
 RUNS = "run bigint, doc_id bigint, start bigint, chains array<bigint>, lens array<int>"
 GROUP = "struct<last: int, n_words: bigint>"
 PLACED = f"leader bigint, tail bigint, places array<struct<head: bigint, words: bigint, rank: int, n_words: bigint, groups: array<{GROUP}>>>"
@@ -69,32 +70,50 @@ def _runs(group: pa.Table) -> pa.Table:
 TAILS = "leader bigint, tail bigint, run bigint, doc_id bigint, start bigint, left bigint, chains array<bigint>, lens array<int>, heads array<int>"
 
 
+#: Runs that are looked at together, and symbols of tails that are handed over together.
+TOGETHER, HANDED = 200, 200_000
+_TAILS = pa.schema([*((n, pa.int64()) for n in ("leader", "tail", "run", "doc_id", "start", "left")), ("chains", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("heads", pa.list_(pa.int32()))])
+
+
+def _tails_of(r: dict) -> Iterator[tuple]:
+    chains, lens = np.array(r["chains"], np.int64), np.array(r["lens"], np.int32)
+    ends = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
+    # hashes of all suffixes at once: sums of places' worths, scaled to begin at each place
+    power = np.cumprod(np.full(len(chains), _SUFFIX, U)) * _BACK
+    sums = np.cumsum((mix(chains.view(U)) * power)[::-1])[::-1]
+    back = np.cumprod(np.full(len(chains), _BACK, U)) * _SUFFIX
+    hashes = mix(sums * back + np.arange(len(chains), 0, -1, dtype=U)).view(np.int64)
+    by: dict[int, list[int]] = {}
+    for h in r["heads"]:
+        by.setdefault(h["leader"], []).append(h["k"])
+    for leader, at in by.items():
+        at.sort()
+        k = at[0]
+        # without a repeated window before it, an occurrence's left neighbour is like no other's
+        left = int(chains[k - 1]) if k else r["run"]
+        yield leader, int(hashes[k]), r["run"], r["doc_id"], r["start"] + int(ends[k]), left, chains[k:], lens[k:], np.array(at, np.int32) - np.int32(k)
+
+
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run and each of its leaders: the run from the first head of that leader on."""
-    names = ["leader", "tail", "run", "doc_id", "start", "left", "chains", "lens", "heads"]
-    kinds = (*[pa.int64()] * 6, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    rows, size = [], 0
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            chains, lens = r["chains"], np.array(r["lens"], np.int64)
-            ends = np.concatenate(([0], np.cumsum(lens)))
-            # hashes of all suffixes at once: sums of places' worths, scaled to begin at each place
-            symbols = np.array(chains, np.int64).view(U)
-            power = np.cumprod(np.full(len(chains), _SUFFIX, U)) * U(pow(int(_SUFFIX), -1, 2**64))
-            sums = np.cumsum((mix(symbols) * power)[::-1])[::-1]
-            back = np.cumprod(np.full(len(chains), pow(int(_SUFFIX), -1, 2**64), U)) * _SUFFIX
-            hashes = mix(sums * back + np.arange(len(chains), 0, -1, dtype=U)).view(np.int64)
-            by: dict[int, list[int]] = {}
-            for h in r["heads"]:
-                by.setdefault(h["leader"], []).append(h["k"])
-            for leader, at in by.items():
-                at.sort()
-                k = at[0]
-                # without a repeated window before it, an occurrence's left neighbour is like no other's
-                left = chains[k - 1] if k else r["run"]
-                rows.append((leader, int(hashes[k]), r["run"], r["doc_id"], r["start"] + int(ends[k]), left, chains[k:], r["lens"][k:], [x - k for x in at]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        for i in range(0, batch.num_rows, TOGETHER):
+            for r in batch.slice(i, TOGETHER).to_pylist():
+                for row in _tails_of(r):
+                    rows.append(row)
+                    size += len(row[6])
+                    if size >= HANDED:
+                        yield _tail_batch(rows)
+                        rows, size = [], 0
+    if rows:
+        yield _tail_batch(rows)
+
+
+def _tail_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    lists = [_lists(np.concatenate(c), np.concatenate(([0], np.cumsum([len(x) for x in c])))) for c in columns[6:]]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), *lists], schema=_TAILS)
 
 
 def rank_levels(symbols: np.ndarray, remaining: np.ndarray) -> list[np.ndarray]:
