@@ -19,8 +19,9 @@ UNMARKED_WORDS = 15
 SENTENCE_MARKS = "[.!?…。！？।؟:;]"
 #: ... or if a line of at most so many words holds a phrase of page furniture, in one of the corpus' four languages.
 BOILERPLATE_WORDS = 25
+#: A phrase begins a word, which also spares a look at most places of a line.
 BOILERPLATE = (
-    "all rights reserved|accept (all )?cookies|cookie (policy|settings)|privacy policy|terms of (use|service)"
+    "(^|[^a-z])(all rights reserved|accept (all )?cookies|cookie (policy|settings)|privacy policy|terms of (use|service)"
     "|subscribe to our newsletter|sign up for our|enable javascript|javascript is (disabled|required)|click here"
     "|skip to (main )?content|back to top|share (this )?on (facebook|twitter)|lorem ipsum|powered by wordpress"
     "|alle rechte vorbehalten|cookies? akzeptieren|datenschutz(erklärung|bestimmungen)|nutzungsbedingungen|newsletter abonnieren"
@@ -28,7 +29,7 @@ BOILERPLATE = (
     "|tous droits réservés|accepter (tous )?les cookies|politique de (confidentialité|cookies)|conditions d.utilisation|abonnez-vous à notre"
     "|activer javascript|cliquez ici|aller au contenu|haut de page"
     "|todos los derechos reservados|aceptar (todas )?(las )?cookies|política de (privacidad|cookies)|(términos|condiciones) de uso"
-    "|suscríb[ae](te|se) a nuestr|habilit[ae] javascript|ha(z|ga) clic aquí|saltar al contenido|volver arriba"
+    "|suscríb[ae](te|se) a nuestr|habilit[ae] javascript|ha(z|ga) clic aquí|saltar al contenido|volver arriba)"
 )
 #: A document goes if it keeps less than this share of its characters.
 KEEP_SHARE = 0.5
