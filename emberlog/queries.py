@@ -20,7 +20,7 @@ from .operators.store import LogStore, Offsets, Shard, Version
 from .plans import lookup
 from .schema import ARRIVALS_SCHEMA, LOG_COLUMNS
 from .sources.events import event_log
-from .sources.legacy import exported, import_snapshot
+from .sources.legacy import export_snapshot, exported, import_file, import_snapshot
 from .sources.topics import FileTopic
 from .streaming.ingest import run_pipeline
 from .workload import now_micros
@@ -422,8 +422,9 @@ def committed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _binary(spark: SparkSession, sf_dir: str, layout: bytes) -> DataFrame:
-    data = exported(event_store(spark, sf_dir), b"EXPORT", layout=layout)
-    return import_snapshot(spark, data, scratch(spark, "imported"), b"EXPORT", "md5")[0].live()
+    path = f"{scratch(spark, 'binary')}/events.snap"
+    export_snapshot(event_store(spark, sf_dir), path, b"EXPORT", layout=layout)
+    return import_file(spark, path, scratch(spark, "imported"), b"EXPORT", "md5")[0].live()
 
 
 @query(f"SELECT shard, local_offset, {_ROW} FROM R")

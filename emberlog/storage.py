@@ -43,13 +43,26 @@ class Folder:
 
     def write_bytes(self, data: bytes, *names: str) -> None:
         """A whole file, written under another name and then renamed over what is there."""
-        target, part = self._Path(self.path(*names)), self._part(data, names)
+        self._replace(self._part(data, names), self._Path(self.path(*names)))
+
+    def _replace(self, part, target) -> None:
         if not self.fs.rename(part, target):
             # file systems that don't rename over a file
             self.fs.delete(target, False)
             if not self.fs.rename(part, target):
                 raise OSError(f"can't write {target}")
 
+    def replace(self, part: str, *names: str) -> None:
+        """Renames a file of this folder over what is there."""
+        self._replace(self._Path(self.path(part)), self._Path(self.path(*names)))
+
+    def make(self, *names: str) -> None:
+        self.fs.mkdirs(self._Path(self.path(*names)))
+
+    def uri(self, *names: str) -> str:
+        """The path with its scheme, as Python workers open it."""
+        return self.fs.makeQualified(self._Path(self.path(*names))).toString()
+
     def write_json(self, value: dict, *names: str) -> bool:
         """All or nothing: a file of another name is written and then renamed. False if the name is taken."""
         target, part = self._Path(self.path(*names)), self._part(json.dumps(value, sort_keys=True).encode(), names)

@@ -7,9 +7,11 @@ import pytest
 from emberlog.config import PipelineConfig
 from emberlog.errors import DecodeError, RoutingError, SnapshotError, SourceUnavailable
 from emberlog.functions.routing import ROUTERS
-from emberlog.operators.store import LogStore
+from emberlog.operators.store import LogStore, Offsets
+from emberlog.queries import QUERIES
 from emberlog.schema import TOPIC_SCHEMA
-from emberlog.sources.legacy import export_snapshot, exported, import_snapshot, parsed
+from emberlog.sources import legacy
+from emberlog.sources.legacy import export_snapshot, exported, import_file, import_snapshot, parsed
 from emberlog.sources.topics import FileTopic, KafkaTopic, ensure_topic, messages
 from emberlog.streaming.ingest import apply_batch, run_pipeline
 
@@ -167,3 +169,71 @@ def test_export_of_binary_snapshots(spark, tmp_path):
     for _ in range(2):  # the second replaces the first
         export_snapshot(store, path, b"FORMAT")
     assert (tmp_path / "out.snap").read_bytes() == exported(store, b"FORMAT")
+
+
+ODD = [(i - 20, ("", "a", "svc", "日本語", "x" * 150)[i % 5], f"h{i % 9}", ("", "m", "héllo ✓🚀", "\0\1\2", "y" * 700)[i % 3 + i % 2]) for i in range(60)]
+
+
+def is_as_exported_and_imported(spark, tmp_path, monkeypatch, version):
+    """Parts of 3 entries and windows of 64 bytes: shards, entries and texts cross their bounds."""
+    monkeypatch.setattr(legacy, "SPLIT", 64)
+    monkeypatch.setattr(legacy, "PART", 3)
+    # one shard loses its oldest rows, some have none
+    store = LogStore.with_shards(spark, f"file://{tmp_path}/store", 60, 12, "sip13")
+    rows = spark.createDataFrame([(*r, i) for i, r in enumerate(ODD)], "timestamp bigint, service_name string, host_id string, message string, arrival_seq bigint")
+    store.ingest(rows, offsets=Offsets({"logs": {0: 7, 3: 9}, "日本": {1: 1}}))
+    assert {0, 5} <= set(store.shard_lens().values()) and max(s.oldest_offset for s in store.shards()) > 0
+    path, where = f"file://{tmp_path}/snapshots/a.snap", tmp_path / "snapshots"
+    for _ in range(2):  # the second replaces the first
+        export_snapshot(store, path, b"FORMAT", layout=version)
+    data = (where / "a.snap").read_bytes()
+    assert data == exported(store, b"FORMAT", layout=version) and [p.name for p in where.iterdir()] == ["a.snap"]
+    (where / "more.snap").write_bytes(data + b"trailing")
+    for name in ("a", "more"):
+        copy, offsets = import_file(spark, f"file://{where}/{name}.snap", f"file://{tmp_path}/from-{name}", b"FORMAT")
+        assert sorted(copy.live().collect()) == sorted(store.live().collect()) and offsets == store.offsets()
+        assert [(s.oldest_offset, s.next_offset) for s in copy.shards()] == [(s.oldest_offset, s.next_offset) for s in store.shards()]
+        assert sorted(p.name for p in (tmp_path / f"from-{name}").iterdir()) == ["arrivals", "versions"]
+    broken = [b"", b"nothing!", data[:-3], data[: len(data) // 2], data[:12], data.replace("é".encode(), b"\xc3\xc3")]
+    for i, wrong in enumerate(broken):
+        (where / f"{i}.snap").write_bytes(wrong)
+        with pytest.raises(SnapshotError):
+            import_file(spark, f"file://{where}/{i}.snap", f"file://{tmp_path}/broken{i}", b"FORMAT")
+        with pytest.raises(SnapshotError):
+            parsed(wrong, b"FORMAT")
+    with pytest.raises(SnapshotError):
+        import_file(spark, f"file://{where}/nothing.snap", f"file://{tmp_path}/broken", b"FORMAT")
+
+
+def sent_to_driver(spark, does):
+    """Bytes of task results of the jobs that ``does`` runs."""
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        no_quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, no_quantiles, None)
+        return {stages.apply(i).stageId(): stages.apply(i).resultSize() for i in range(stages.size())}
+
+    before = total()
+    does()
+    return sum(size for stage, size in total().items() if stage not in before)
+
+
+def rows_stay_on_executors(spark, tmp_path, name):
+    """More events send no more to the driver: positions and sizes only."""
+    sent = []
+    for n in (2_000, 42_000):
+        events = spark.range(n).selectExpr("id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts", "id % 50 AS user_id", "'view' AS event_type", "repeat(md5(cast(id AS string)), 3) AS props")
+        events.write.parquet(f"{tmp_path}/{n}/events.parquet")
+        QUERIES["store_len"](spark, f"{tmp_path}/{n}").collect()  # makes the store
+        sent.append(sent_to_driver(spark, lambda n=n: QUERIES[name](spark, f"{tmp_path}/{n}")))
+    # 20,000 more rows of 96 bytes and more are live
+    assert sent[1] - sent[0] < 200_000
+
+
+def test_binary_files_of_the_older_layout(spark, tmp_path, monkeypatch):
+    is_as_exported_and_imported(spark, tmp_path, monkeypatch, b"04")
+
+
+def test_rows_of_the_older_layout_stay_on_executors(spark, tmp_path):
+    rows_stay_on_executors(spark, tmp_path, "binary_roundtrip_old")
