@@ -237,3 +237,11 @@ def test_binary_files_of_the_older_layout(spark, tmp_path, monkeypatch):
 
 def test_rows_of_the_older_layout_stay_on_executors(spark, tmp_path):
     rows_stay_on_executors(spark, tmp_path, "binary_roundtrip_old")
+
+
+def test_binary_files_of_the_newer_layout(spark, tmp_path, monkeypatch):
+    is_as_exported_and_imported(spark, tmp_path, monkeypatch, b"05")
+
+
+def test_rows_of_the_newer_layout_stay_on_executors(spark, tmp_path):
+    rows_stay_on_executors(spark, tmp_path, "binary_roundtrip")
